@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, decontaminate, html_extract, media, packing, toxicity
+from catalith.llm import chat, decontaminate, html_extract, media, packing, substring_index, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op4_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.digest(substring_index.remove_repeated_windows(_table(spark, sf_dir, "documents")))
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +50,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted", (F.size("spans") / 2).cast("long").alias("n_terms"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents")))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.as_media(_table(spark, sf_dir, "documents")))
 
@@ -55,8 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": op1_decontaminate,
         "op2_chat_format": op2_chat_format,
         "op3_main_text": op3_main_text,
+        "op4_substring_index": op4_substring_index,
         "op5_pack": op5_pack,
         "op6_toxicity": op6_toxicity,
+        "op7_suffix_array": op7_suffix_array,
         "op9_media": op9_media,
     }
 
@@ -93,4 +103,27 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(3 + sum(chars) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op4_substring_index": r"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     win AS (SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11), lambda i: md5_number(array_to_string(w[i : i + 12], ' ')))) AS k FROM dw),
+     least AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+     gone AS (SELECT DISTINCT r, p FROM win JOIN least USING (k), unnest(range(i, i + 13)) AS v(p) WHERE doc_id > first),
+     g AS (SELECT r, list(p) AS ps FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(ps, j))) END, ' ')) AS kept_sha256
+FROM dw LEFT JOIN g USING (r)""",
+    "op7_suffix_array": r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     win AS (SELECT r, unnest(range(1, length(h) // 2 - 98)) AS i, unnest(list_transform(range(1, length(h) // 2 - 98), lambda i: md5_number(substr(h, 2 * i - 1, 200)))) AS k FROM d),
+     late AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY r, i) AS n FROM win) WHERE n > 1),
+     step AS (SELECT r, i, max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM late),
+     run AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS n FROM step),
+     span AS (SELECT r, n, min(i) AS a, max(i) + 100 AS b FROM run GROUP BY r, n),
+     gap AS (SELECT r, n, a, b, lag(b, 1, 1) OVER (PARTITION BY r ORDER BY n) AS was, lead(a) OVER (PARTITION BY r ORDER BY n) AS next FROM span),
+     kept AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed,
+                     string_agg(substr(h, 2 * was - 1, 2 * (a - was)) || CASE WHEN next IS NULL THEN substr(h, 2 * b - 1) ELSE '' END, '' ORDER BY n) AS k
+              FROM gap JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)""",
 }

@@ -77,8 +77,8 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(units: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[str, np.ndarray]:
     """One row for each anchor position of each document, in order: doc (index),
-    anchor and context hashes, and first/last window start that it owns."""
-    empty = {n: np.empty(0, t) for n, t in (("doc", np.int64), ("anchor", U), ("context", U), ("first", np.int64), ("last", np.int64))}
+    anchor and context hashes, first/last window start that it owns, and its position."""
+    empty = {n: np.empty(0, t) for n, t in (("doc", np.int64), ("anchor", U), ("context", U), ("first", np.int64), ("last", np.int64), ("at", np.int64))}
     if len(units) < length:
         return empty
     prefix = Prefix(units)
@@ -97,7 +97,7 @@ def anchors(units: np.ndarray, bounds: np.ndarray, length: int, k: int) -> dict[
     at, doc = at[head], doc[head]
     context = prefix.of(first, last + length)
     context = mix(context ^ ((at - first).astype(U) * U(0xD6E8FEB86659FD93)))
-    return {"doc": doc, "anchor": prefix.of(at, at + k), "context": context, "first": first, "last": last}
+    return {"doc": doc, "anchor": prefix.of(at, at + k), "context": context, "first": first, "last": last, "at": at}
 
 
 def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
