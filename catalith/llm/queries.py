@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, decontaminate, html_extract, media, packing, substring_index, suffix_dedup, toxicity
+from catalith.llm import chat, decontaminate, html_extract, media, near_dedup, packing, substring_index, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.as_media(_table(spark, sf_dir, "documents")))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_suffix_array": op7_suffix_array,
         "op9_media": op9_media,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
