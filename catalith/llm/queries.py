@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import chat, decontaminate, html_extract, media, near_dedup, packing, substring_index, suffix_dedup, toxicity
+from catalith.llm import chat, decontaminate, html_extract, media, near_dedup, packing, pii, substring_index, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents")))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.as_media(_table(spark, sf_dir, "documents")))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_pack": op5_pack,
         "op6_toxicity": op6_toxicity,
         "op7_suffix_array": op7_suffix_array,
+        "op8_personal_data": op8_personal_data,
         "op9_media": op9_media,
         "op10_near_duplicates": op10_near_duplicates,
     }
