@@ -34,21 +34,22 @@ from pyspark.sql import functions as F
 
 from catalith.llm.common import cut, id_and_text, rowwise
 
-MAX_ROWS, MAX_TERMS, LEAST_DOCS, LEAST_RATIO = 20_000, 2_000, 6, 25.0
+MAX_ROWS, MAX_TERMS, LEAST_DOCS, LEAST_RATIO = 20_000, 2_000, 5, 6.0
 SHORTEST_STEM, FUZZY_FROM, CONTEXT = 4, 5, 8
 MEMO_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+(?:[@$*'’!][^\W_]+)*")
 _QUOTES = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|‘[^’\n]{1,400}’")
 _REPORTING = frozenset("said says say wrote writes called calls reported quoted quote quotes word words term insult insults slur dijo escribió llamó palabra dit écrit appelé mot sagte schrieb nannte wort zitat".split())
 _ADDRESS = frozenset("you your youre u ur du dich dir dein deine tu te toi ton ta vous usted tú ti".split())
-_FEATURES = 8
+_FEATURES = 10
 
 
 class Lexicon:
-    """A trie of terms; a node is (children, accepts here, accepts all below)."""
+    """A trie of terms with their log odds; a node has its children by letter, and
+    under ``end`` and ``stem`` the term that ends there or accepts all below."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.words, self.stems = frozenset(words), frozenset(stems)
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        self.words, self.stems = words, stems
         self.trie: dict = {}
         halves: set[str] = set()
         heads: set[str] = set()
@@ -65,35 +66,35 @@ class Lexicon:
         rule = "|".join([*(f"^{re.escape(h)}" for h in sorted(heads)), *(re.escape(h) for h in sorted(halves))])
         #: With one edit, the first or the second half of a term is intact.
         self.may_match = re.compile(rule).search if rule else (lambda _: None)
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, str]] = {}
 
-    def kind(self, word: str) -> int:
-        """0 none, 1 a word, 2 a beginning, 3 a word within one edit, 4 a beginning within one edit."""
+    def find(self, word: str) -> tuple[int, str]:
+        """The term and how it is met: 0 not at all, 1 a word, 2 a beginning, 3 a word within one edit, 4 a beginning within one edit."""
         got = self.memo.get(word)
         if got is None:
-            got = self._find(word) if self.may_match(word) else 0
+            got = self._find(word) if self.may_match(word) else (0, "")
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
             self.memo[word] = got
         return got
 
-    def _find(self, word: str) -> int:
+    def _find(self, word: str) -> tuple[int, str]:
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         n = len(word)
         last = 1 << n
-        best = 0
+        best: tuple[int, str] = (0, "")
         # The automaton of `word`: bit i of `exact` (`edited`) is set if i letters are read with no (one) edit.
         stack = [(self.trie, 1, 0b10 if n else 0, 0)]
         while stack:
             node, exact, edited, depth = stack.pop()
             term = node.get("end")
             if term is not None and (exact & last or edited & last and depth >= FUZZY_FROM):
-                best = 1 if exact & last else (best or 3)
+                best = self._better(best, 1 if exact & last else 3, term)
             stem = node.get("stem")
             if stem is not None and (exact or edited and depth >= FUZZY_FROM):
-                best = 2 if exact and best != 1 else (best or 4)
+                best = self._better(best, 2 if exact else 4, stem)
             for c, child in node.items():
                 if len(c) > 1:
                     continue
@@ -105,11 +106,15 @@ class Lexicon:
                     stack.append((child, to, also, depth + 1))
         return best
 
+    @staticmethod
+    def _better(old: tuple[int, str], kind: int, term: str) -> tuple[int, str]:
+        return old if old[0] and (old[0], old[1]) <= (kind, term) else (kind, term)
+
 
 @dataclass
 class ToxicityModel:
-    words: list[str]
-    stems: list[str]
+    words: dict[str, float]
+    stems: dict[str, float]
     weights: list[float]
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -118,36 +123,42 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(features @ np.array(self.weights), -40, 40)))
 
 
-def hits(text: str | None, lexicon: Lexicon) -> list[tuple[int, int, int, bool, bool]]:
-    """Start, end, kind, quoted and addressed of each hit."""
-    out: list[tuple[int, int, int, bool, bool]] = []
-    if not text:
-        return out
-    low = text.lower()
-    found = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(low)]
-    kinds = [(i, k) for i, (_, _, w) in enumerate(found) if (k := lexicon.kind(w))]
-    if not kinds:
-        return out
-    quotes = [m.span() for m in _QUOTES.finditer(low)]
-    for i, kind in kinds:
-        start, end, _ = found[i]
-        near = {w for _, _, w in found[max(0, i - CONTEXT) : i + CONTEXT + 1]}
+@dataclass
+class Hits:
+    """Of a text: its words, and start, end, kind, term, quoted and addressed of each hit."""
+
+    words: int
+    found: list[tuple[int, int, int, str, bool, bool]]
+
+
+def hits(text: str | None, lexicon: Lexicon) -> Hits:
+    low = (text or "").lower()
+    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(low)]
+    met = [(i, *got) for i, (_, _, w) in enumerate(words) if (got := lexicon.find(w))[0]]
+    out: list[tuple[int, int, int, str, bool, bool]] = []
+    quotes = [m.span() for m in _QUOTES.finditer(low)] if met else []
+    for i, kind, term in met:
+        start, end, _ = words[i]
+        near = {w for _, _, w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]}
         quoted = any(a < start and end < b for a, b in quotes) or not near.isdisjoint(_REPORTING)
-        out.append((start, end, kind, quoted, not near.isdisjoint(_ADDRESS)))
-    return out
+        out.append((start, end, kind, term, quoted, not near.isdisjoint(_ADDRESS)))
+    return Hits(len(words), out)
 
 
-def _features(found: list[tuple[int, int, int, bool, bool]]) -> list[float]:
-    n = Counter((kind, quoted) for _, _, kind, quoted, _ in found)
-    plain = [n[k, False] for k in (1, 2, 3, 4)]
-    return [1.0, math.log1p(plain[0]), math.log1p(plain[1]), math.log1p(plain[2]), math.log1p(plain[3]), math.log1p(sum(v for (_, q), v in n.items() if q)), math.log1p(sum(a for *_, a in found)), 1.0 if plain[0] + plain[1] else 0.0]
+def _features(seen: Hits, lexicon: Lexicon) -> list[float]:
+    weight: Counter = Counter()
+    for _, _, kind, term, quoted, _ in seen.found:
+        weight["quoted" if quoted else kind] += lexicon.words.get(term, 0) if kind in (1, 3) else lexicon.stems.get(term, 0)
+    total = sum(weight.values())
+    logs = [math.log1p(weight[k]) for k in (1, 2, 3, 4, "quoted")]
+    return [1.0, *logs, math.log1p(sum(a for *_, a in seen.found)), 1.0 if weight[1] + weight[2] else 0.0, math.log1p(len({t for _, _, _, t, _, _ in seen.found})), math.log1p(20 * total / (seen.words + 20))]
 
 
 _LEXICONS: dict[tuple, Lexicon] = {}
 
 
 def _lexicon(model: ToxicityModel) -> Lexicon:
-    key = (tuple(model.words), tuple(model.stems))
+    key = (tuple(model.words.items()), tuple(model.stems.items()))
     if key not in _LEXICONS:
         _LEXICONS.clear()
         _LEXICONS[key] = Lexicon(model.words, model.stems)
@@ -181,14 +192,16 @@ def _terms(docs: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _choose(rows: list[tuple[str, int, int]]) -> tuple[list[str], list[str]]:
-    words = {t: n for t, n, _ in rows if not t.endswith("*")}
-    stems: list[str] = []
-    for stem in sorted((t[:-1] for t, _, _ in rows if t.endswith("*")), key=lambda s: (len(s), s)):
+def _choose(rows: list[tuple[str, float]]) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and beginnings with their log odds; a beginning must stand for three
+    words and more, and the shortest is taken."""
+    words = {t: r for t, r in rows if not t.endswith("*")}
+    stems: dict[str, float] = {}
+    for stem, ratio in sorted(((t[:-1], r) for t, r in rows if t.endswith("*")), key=lambda x: (len(x[0]), x[0])):
         below = [w for w in words if w.startswith(stem) and w != stem]
         if len(below) >= 3 and not any(stem.startswith(s) for s in stems):
-            stems.append(stem)
-    return sorted(w for w in words if not any(w.startswith(s) for s in stems)), stems
+            stems[stem] = math.log(ratio)
+    return {w: math.log(r) for w, r in sorted(words.items())}, stems
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", held_out: int = 5, max_rows: int = MAX_ROWS) -> ToxicityModel:
@@ -203,13 +216,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
-        return ToxicityModel([], [], [])
+        return ToxicityModel({}, {}, [])
     ratio = (F.col("toxic") / F.lit(toxic)) / ((F.col("clean") + 0.5) / F.lit(clean + 0.5))
-    picked = _terms(labelled).filter((F.col("toxic") >= min(LEAST_DOCS, max(2, toxic // 20))) & (ratio >= LEAST_RATIO)).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
-    model = ToxicityModel(*_choose([tuple(r) for r in picked.collect()]), [])
+    picked = _terms(labelled).filter((F.col("toxic") >= max(LEAST_DOCS, toxic // 50)) & (ratio >= LEAST_RATIO)).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
+    model = ToxicityModel(*_choose([(r["term"], r["ratio"]) for r in picked.select("term", ratio.alias("ratio")).collect()]), [])
 
     def one(rows: dict[str, list]) -> dict[str, list]:
-        return {"toxic": rows["toxic"], "features": [_features(hits(t, _lexicon(model))) for t in rows["text"]]}
+        return {"toxic": rows["toxic"], "features": [_features(hits(t, _lexicon(model)), _lexicon(model)) for t in rows["text"]]}
 
     # at most max_rows rows of a few numbers
     fit = rowwise(labelled, "toxic int, features array<double>", one).groupBy("features", "toxic").agg(F.count("*").alias("n")).collect()
@@ -239,8 +252,8 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     def one(rows: dict[str, list]) -> dict[str, list]:
         lexicon = _lexicon(model)
         found = [hits(t, lexicon) for t in rows["text"]]
-        scores = model.score(np.array([_features(f) for f in found]).reshape(-1, _FEATURES))
-        return {"doc_id": rows["doc_id"], "score": scores.tolist(), "predicted": [int(s >= 0.5) for s in scores], "spans": [[x for h in f for x in h[:2]] for f in found]}
+        scores = model.score(np.array([_features(f, lexicon) for f in found]).reshape(-1, _FEATURES))
+        return {"doc_id": rows["doc_id"], "score": scores.tolist(), "predicted": [int(s >= 0.5) for s in scores], "spans": [[x for h in f.found for x in h[:2]] for f in found]}
 
     return rowwise(id_and_text(docs, id_col, text_col), "doc_id long, score double, predicted int, spans array<long>", one)
 
@@ -251,7 +264,7 @@ def remove_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
     def run(parts):
         lexicon = _lexicon(model)
         for part in (p.slice(at, 512) for p in parts for at in range(0, p.num_rows, 512)):
-            scores = model.score(np.array([_features(hits(t, lexicon)) for t in part.column(text_col).to_pylist()]).reshape(-1, _FEATURES))
+            scores = model.score(np.array([_features(hits(t, lexicon), lexicon) for t in part.column(text_col).to_pylist()]).reshape(-1, _FEATURES))
             yield part.filter(pa.array(scores < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
