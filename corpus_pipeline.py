@@ -1,22 +1,54 @@
-"""A cleaning pipeline over ``documents``: each stage works on what the one before it kept."""
+"""A cleaning pipeline over ``documents``: each stage works on what the one before it kept.
+
+1. toxicity: documents that the model rejects go.
+2. near_duplicates: one document of each class of near copies stays.
+3. decontamination: documents with benchmark passages go.
+4. personal_data: spans of personal data become their kind in brackets.
+5. packing: what is left is tokenized and packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from catalith.llm import toxicity
+from catalith.llm import decontaminate, near_dedup, packing, pii, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
-    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.remove_toxic(docs.select(*COLUMNS), model)
+    docs = docs.select(*COLUMNS)
+    return toxicity.remove_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs.select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.mask_personal_data(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs.select(*COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
 
+#: Learned scores, alignments and a tokenizer are not SQL; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
