@@ -36,7 +36,7 @@ from catalith.llm.common import cut, id_and_text, rowwise
 
 MAX_ROWS, MAX_TERMS, LEAST_DOCS, LEAST_RATIO = 20_000, 2_000, 5, 6.0
 SHORTEST_STEM, FUZZY_FROM, CONTEXT = 4, 5, 8
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 _WORD = re.compile(r"[^\W_]+(?:[@$*'’!][^\W_]+)*")
 _QUOTES = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|‘[^’\n]{1,400}’")
 _REPORTING = frozenset("said says say wrote writes called calls reported quoted quote quotes word words term insult insults slur dijo escribió llamó palabra dit écrit appelé mot sagte schrieb nannte wort zitat".split())
@@ -51,31 +51,26 @@ class Lexicon:
     def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.words, self.stems = words, stems
         self.trie: dict = {}
-        halves: set[str] = set()
-        heads: set[str] = set()
+        #: With one edit, the first or the second half of a term is intact: places in a word, and what may stand there.
+        self.probes: dict[tuple[int, int], set[str]] = {}
         for term, is_stem in [(w, False) for w in words] + [(s, True) for s in stems]:
             node = self.trie
             for c in term:
                 node = node.setdefault(c, {})
             node["stem" if is_stem else "end"] = term
-            if len(term) >= FUZZY_FROM:
-                heads.add(term[: len(term) // 2])
-                halves.add(term[len(term) // 2 :])
-            else:
-                heads.add(term)
-        rule = "|".join([*(f"^{re.escape(h)}" for h in sorted(heads)), *(re.escape(h) for h in sorted(halves))])
-        #: With one edit, the first or the second half of a term is intact.
-        self.may_match = re.compile(rule).search if rule else (lambda _: None)
+            half = len(term) // 2 if len(term) >= FUZZY_FROM else len(term)
+            self.probes.setdefault((0, half), set()).add(term[:half])
+            for start in (half - 1, half, half + 1) if half < len(term) else ():
+                self.probes.setdefault((start, start + len(term) - half), set()).add(term[half:])
         self.memo: dict[str, tuple[int, str]] = {}
 
     def find(self, word: str) -> tuple[int, str]:
         """The term and how it is met: 0 not at all, 1 a word, 2 a beginning, 3 a word within one edit, 4 a beginning within one edit."""
         got = self.memo.get(word)
         if got is None:
-            got = self._find(word) if self.may_match(word) else (0, "")
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = got
+            got = self._find(word) if any(word[a:b] in some for (a, b), some in self.probes.items()) else (0, "")
+            if len(self.memo) < MEMO_WORDS:  # frequent words come early
+                self.memo[word] = got
         return got
 
     def _find(self, word: str) -> tuple[int, str]:
@@ -133,10 +128,14 @@ class Hits:
 
 def hits(text: str | None, lexicon: Lexicon) -> Hits:
     low = (text or "").lower()
-    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(low)]
-    met = [(i, *got) for i, (_, _, w) in enumerate(words) if (got := lexicon.find(w))[0]]
+    plain = _WORD.findall(low)
+    terms = {w: got for w in set(plain) if (got := lexicon.find(w))[0]}
     out: list[tuple[int, int, int, str, bool, bool]] = []
-    quotes = [m.span() for m in _QUOTES.finditer(low)] if met else []
+    if not terms:
+        return Hits(len(plain), out)
+    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(low)]
+    met = [(i, *terms[w]) for i, w in enumerate(plain) if w in terms]
+    quotes = [m.span() for m in _QUOTES.finditer(low)]
     for i, kind, term in met:
         start, end, _ = words[i]
         near = {w for _, _, w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]}
