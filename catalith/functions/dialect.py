@@ -64,8 +64,36 @@ class Dialect:
 
 
 class Spark(Dialect):
+    #: A column that keeps predicates from being moved below a projection, where they would repeat its expressions.
+    whole = "monotonically_increasing_id()"
+
+    def fence(self, query: str) -> str:
+        return f"({query})"
+
     no_strings, no_numbers = "CAST(array() AS ARRAY<STRING>)", "CAST(array() AS ARRAY<BIGINT>)"
 
+    def array(self, *items: str) -> str:
+        return f"array({', '.join(items)})"
+
+    def ordered(self, value: str, order: str, where: str = "true") -> str:
+        """Values of a group in order, each once, where it stands first."""
+        return f"array_distinct(transform(array_sort(collect_list(struct({order} AS o, {value} AS v)) FILTER (WHERE {where})), z -> z.v))"
+
+    def explode(self, items: str, name: str) -> str:
+        return f"LATERAL VIEW explode({items}) lv AS {name}"
+
+    def count_if(self, test: str) -> str:
+        return f"count_if({test})"
+
+    def mode(self, x: str) -> str:
+        return f"mode({x}, true)"
+
+    def first_by(self, x: str, order: str) -> str:
+        return f"min_by({x}, {order})"
+
+    def last_by(self, x: str, order: str) -> str:
+        return f"max_by({x}, {order})"
+
     def chain(self, a: str, b: str) -> str:
         return f"concat({a}, {b})"
 
@@ -149,8 +177,34 @@ class Spark(Dialect):
 
 
 class Duck(Dialect):
+    whole = "0"
+
+    def fence(self, query: str) -> str:
+        return f"(WITH m AS MATERIALIZED ({query}) SELECT * FROM m)"
+
     no_strings, no_numbers = "CAST([] AS VARCHAR[])", "CAST([] AS BIGINT[])"
 
+    def array(self, *items: str) -> str:
+        return f"[{', '.join(items)}]"
+
+    def ordered(self, value: str, order: str, where: str = "true") -> str:
+        return f"coalesce({self.distinct(f'list({value} ORDER BY {order}) FILTER (WHERE {where})')}, [])"
+
+    def explode(self, items: str, name: str) -> str:
+        return f", unnest({items}) AS lv({name})"
+
+    def count_if(self, test: str) -> str:
+        return f"CAST(count(*) FILTER (WHERE {test}) AS BIGINT)"
+
+    def mode(self, x: str) -> str:  # of equally frequent values the least, as in Spark's deterministic form
+        return f"list_extract(list_sort(list_transform(list_filter(map_entries(histogram({x})), lambda e: e.value = list_max(map_values(histogram({x})))), lambda e: e.key)), 1)"
+
+    def first_by(self, x: str, order: str) -> str:
+        return f"arg_min({x}, {order})"
+
+    def last_by(self, x: str, order: str) -> str:
+        return f"arg_max({x}, {order})"
+
     def chain(self, a: str, b: str) -> str:
         return f"list_concat({a}, {b})"
 

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.operators import scalars
+from catalith.operators import catalog, matching, scalars
+
+_ALL = {**scalars.PLANS, **catalog.QUERIES, **matching.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: plan.spark for name, plan in scalars.PLANS.items()}
+    return {name: plan.spark for name, plan in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: plan.sql() for name, plan in scalars.PLANS.items()}
+    return {name: plan.sql() for name, plan in _ALL.items()}
