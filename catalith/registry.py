@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.operators import catalog, matching, scalars
+from catalith.operators import cascade, catalog, matching, reports, scalars
 
-_ALL = {**scalars.PLANS, **catalog.QUERIES, **matching.QUERIES}
+_ALL = {**scalars.PLANS, **catalog.QUERIES, **matching.QUERIES, **reports.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: plan.spark for name, plan in _ALL.items()}
+    return {name: plan.spark for name, plan in _ALL.items()} | cascade.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
