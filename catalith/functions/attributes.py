@@ -28,6 +28,25 @@ def category(d: Dialect, x: str) -> str:
     return d.case((tablet, "'tablet'"), (watch, "'watch'"), (is_laptop(d, low), "'laptop'"), (mobile, "'mobile'"), other="'other'")
 
 
+def infer_category(d: Dialect, x: str, brand: str, current: str) -> str:
+    """The named category; where none is named, what the words of the text tell."""
+    low, own, now = f"lower(coalesce({x}, ''))", f"lower(coalesce({brand}, ''))", f"coalesce({current}, '')"
+    surface = f"({d.has(low, r'\bsurface\s+(?:pro|go)\b')} AND NOT {d.any_of(low, ('keyboard', 'type cover', 'laptop'))})"
+    huawei = f"(({d.contains(low, 'huawei')} OR {own} = 'huawei') AND {d.has(low, r'\b(?:mate\s*\d|p\d{2}|p\s+\d{2}|nova\s*\d|pura\s*\d)')})"
+    xiaomi = f"(({d.contains(low, 'xiaomi')} OR {own} = 'xiaomi') AND {d.has(low, r'\bxiaomi\s+\d+|mi\s+\d+')})"
+    return d.case(
+        (f"lower({now}) NOT IN ('', 'other', 'nan', 'none')", now),
+        (f"{own} = 'apple' AND {d.contains(low, 'watch')}", "'watch'"),
+        (f"({d.any_of(low, t.INFER_TABLET)} OR {surface})", "'tablet'"),
+        (d.any_of(low, t.INFER_WATCH), "'watch'"),
+        (d.any_of(low, t.INFER_LAPTOP), "'laptop'"),
+        (f"({d.any_of(low, t.INFER_MOBILE)} OR {huawei} OR {xiaomi} OR {d.has(low, r'\b(?:gt|sm)[\s-]?[a-z]\d{3}')})", "'mobile'"),
+        (f"{own} = 'lenovo' AND {d.has(low, r'\bv\d{2}\b')}", "'laptop'"),
+        (d.any_of(low, ("miix", "galaxy view")), "'tablet'"),
+        other=d.either(now, "'other'"),
+    )
+
+
 def canonical_storage(d: Dialect, x: str) -> str:
     return f"CASE WHEN {d.has(x, '(?i)^1024gb$')} THEN '1tb' WHEN {d.has(x, '(?i)^2048gb$')} THEN '2tb' ELSE {x} END"
 

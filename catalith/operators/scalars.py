@@ -74,6 +74,7 @@ PLANS: dict[str, Plan] = {
     "a21_tab_gen": _normalized("tab_gen", a.tablet_generation),
     "a22_inches": _normalized("inches", a.screen_inches),
     "a23_attrs": _listing(_attributes, ["row_id", *a.FIELDS]),
+    "a26_category2": _listing(lambda d: [{"category": a.infer_category(d, "in_name", "in_brand", "CASE WHEN row_id % 2 = 0 THEN in_category ELSE '' END")}], ["row_id", "category"]),
     "a28_signature": _listing(lambda d: [*_attributes(d), {"signature": a.signature(d)}], ["row_id", "signature"]),
     "a29_storage_key": _listing(lambda d: [*_attributes(d), {"storage_key": a.storage_key(d)}], ["row_id", "storage_key"]),
 }
