@@ -101,6 +101,11 @@ QUERIES: dict[str, Query] = {
     "j18_compare": Query(_compare),
     "o1_review_queue": Query(_top(10, "match_score DESC, row_id", "match_status = 'REVIEW_REQUIRED'")),
     "o6_near_miss_top": Query(lambda d, t: f"SELECT row_id, name, match_score FROM ({results(d, t)}) AS r WHERE match_status = 'NO_MATCH' ORDER BY match_score DESC, row_id LIMIT 50"),
+    "o2_quick_review": _over("row_id, match_score, CASE WHEN match_score >= 88 THEN 'quick' ELSE 'deep' END AS queue", "WHERE match_status = 'REVIEW_REQUIRED'"),
+    "o3_problem_sort": _over("row_id, match_status, CAST(row_number() OVER (PARTITION BY source_sheet ORDER BY CASE match_status WHEN 'MULTIPLE_MATCHES' THEN 0 WHEN 'REVIEW_REQUIRED' THEN 1 WHEN 'NO_MATCH' THEN 2 ELSE 3 END, match_score, row_id) AS BIGINT) AS place"),
+    "o5_lowest_brands": _over("brand, CAST(round(100.0 * sum(CASE WHEN match_status = 'MATCHED' THEN 1 ELSE 0 END) / count(*), 1) AS DOUBLE) AS rate", "GROUP BY brand ORDER BY rate, brand LIMIT 15"),
+    "g17_risk": _over("source_sheet, CAST(sum(CASE WHEN match_status = 'MATCHED' AND (match_score < 95 OR reasons <> '') THEN 1 ELSE 0 END) AS BIGINT) AS false_positives, CAST(sum(CASE WHEN match_status = 'NO_MATCH' AND match_score >= 80 THEN 1 ELSE 0 END) AS BIGINT) AS missed", "GROUP BY source_sheet"),
+    "x19_row_max": _over("row_id, greatest(match_score, CAST(row_id % 100 AS DOUBLE)) AS best"),
     "w1_best": Query(_top(1, "match_score DESC, row_id")),
     "w2_top3": Query(_top(3, "match_score DESC, row_id")),
     "w3_margin": Query(_margin),
