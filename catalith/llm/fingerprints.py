@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 U = np.uint64
 #: Fingerprints that a task gathers before it sends blocks; marks of one key in a task from which on it is dealt out.
-GATHER, HOT = 1_500_000, 2_000
+GATHER, HOT = 300_000, 1_000
 COVERED, OPEN, RUN = 0, 1, 2
 _KNOWN, _DEALT, _SIGN, _OLD = 1, 2, 4, 8
 NO_ID = np.iinfo(np.int64).max

@@ -17,7 +17,7 @@ import numpy as np
 U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

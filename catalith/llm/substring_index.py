@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from catalith.llm import fingerprints as fp
-from catalith.llm.common import cut, id_and_text, remove, scratch, shuffle_partitions
+from catalith.llm.common import cut, id_and_text, remove, scratch, shuffle_partitions, small_batches
 from catalith.llm.rolling import Prefix, anchors, batches, cover, spread
 
 WINDOW, GRAM = 13, 6
@@ -188,8 +188,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     covered by a window that starts in a document with a smaller id too.  The
     documents go through a new index in ``n_batches`` batches of rising ids."""
     spark = docs.sparkSession
+    small_batches(spark)
     source = id_and_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(fp.NO_ID)))
-    cuts = source.select("key").approxQuantile("key", [i / n_batches for i in range(1, n_batches)], 0.01)
+    cuts = source.select("key").approxQuantile("key", [i / n_batches for i in range(1, n_batches)], 0.01) if n_batches > 1 else []
     edges = sorted({int(c) for c in cuts})
     place = scratch(spark, "windows")
     index = FingerprintIndex(spark, place, fanout=max(2, n_batches), window=window, gram=gram)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalith.llm import fingerprints as fp
-from catalith.llm.common import id_and_text, shuffle_partitions
+from catalith.llm.common import id_and_text, shuffle_partitions, small_batches
 from catalith.llm.rolling import Prefix, anchors, batches, cover, mix, spread
 
 LENGTH, GRAM, PARTS = 100, 36, 4
@@ -100,7 +100,7 @@ class _Text:
         return out | {"again": self._again(out["doc"], out["mark"])}
 
 
-def _parts(rows: Iterator[pa.RecordBatch], length: int, gram: int, wanted=None) -> Iterator[tuple[pa.RecordBatch, list[int], _Text]]:
+def _parts(rows: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[pa.RecordBatch, list[int], _Text]]:
     """Rows in pieces of about a megabyte of text, with their anchors."""
     for part in (p.slice(at, 512) for p in rows for at in range(0, p.num_rows, 512)):
         texts = [_bytes(t) for t in part.column("text").to_pylist()]
@@ -180,6 +180,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     without those covered by a string of ``length`` bytes that also starts earlier;
     ``spans`` are the removed runs, as alternating starts and ends.  One plan: the
     texts are shuffled once, and all three joins read that shuffle."""
+    small_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     source = id_and_text(docs, id_col, text_col)
     by_id = source.withColumn("key", F.coalesce("doc_id", F.lit(fp.NO_ID))).repartition(n, "key")
