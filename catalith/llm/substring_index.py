@@ -56,11 +56,12 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
 
 def _scan(window: int, gram: int) -> fp.Scan:
     def scan(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        ids, words = _ids(part), [words_of(t) for t in part.column("text").to_pylist()]
-        for begin, end in batches([b" " * 8 * len(w) for w in words]):
-            units, bounds = _units(words[begin:end])
-            found = anchors(units, bounds, window, gram)
-            yield found["anchor"], found["context"], ids[begin:end][found["doc"]]
+        for rows in (part.slice(at, 128) for at in range(0, part.num_rows, 128)):  # words as objects are many times their text
+            ids, words = _ids(rows), [words_of(t) for t in rows.column("text").to_pylist()]
+            for begin, end in batches([b" " * 8 * len(w) for w in words]):
+                units, bounds = _units(words[begin:end])
+                found = anchors(units, bounds, window, gram)
+                yield found["anchor"], found["context"], ids[begin:end][found["doc"]]
 
     return scan
 
@@ -103,7 +104,7 @@ def _open_windows(window: int, gram: int):
     """Of each document with open marks, its windows below them, as two hashes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p.slice(at, 512) for p in parts for at in range(0, p.num_rows, 512)):
+        for part in (p.slice(at, 128) for p in parts for at in range(0, p.num_rows, 128)):
             ids, words = _ids(part), [words_of(t) for t in part.column("text").to_pylist()]
             marks = part.column("open").to_pylist()
             for begin, end in batches([b" " * 8 * len(w) for w in words]):
@@ -140,7 +141,7 @@ def _kept(window: int, gram: int):
     """Each row's words without those that covered marks and windows remove."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p.slice(at, 512) for p in parts for at in range(0, p.num_rows, 512)):
+        for part in (p.slice(at, 128) for p in parts for at in range(0, p.num_rows, 128)):
             words = [words_of(t) for t in part.column("text").to_pylist()]
             covered, opened, windows = (part.column(c).to_pylist() for c in ("covered", "open", "windows"))
             texts, removed = [b" ".join(w) for w in words], [0] * len(words)
