@@ -34,8 +34,8 @@ def _attributes(d: Dialect) -> list[Layer]:
 
 
 def _texts(name: str, fn) -> Plan:
-    """The same operator over English free text."""
-    return Plan("documents", {"doc_id": "doc_id", "body": "substr(text, 1, 400)"}, lambda d: [{name: fn(d, "body")}], ["doc_id", name], "lang = 'en'")
+    """The same operator over free text: whole documents of every language."""
+    return Plan("documents", {"doc_id": "doc_id", "body": "text"}, lambda d: [{name: fn(d, "body")}], ["doc_id", name])
 
 
 PLANS: dict[str, Plan] = {
