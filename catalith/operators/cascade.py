@@ -6,29 +6,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from catalith.functions import attributes as a
 from catalith.functions.dialect import SPARK
 from catalith.functions.similarity import token_sort_ratio_udf
 from catalith.operators import matching
 from catalith.plans.layers import apply_layers
 from catalith.plans.query import Query
 
-SIMILAR, NEAR = 85.0, 80.0
+SIMILAR, NEAR, HIGH = 85.0, 80.0, 90.0
+#: Stands for every brand or every category.
+ANY = "*"
 
 
 def _shared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return Query(lambda d, table: f"SELECT * FROM {table(name)}").spark(spark, sf_dir)
 
 
-def similar(spark: SparkSession, sf_dir: str, rows: DataFrame, cutoff: float = NEAR, top: int = 3) -> DataFrame:
-    """The most similar catalog names of each row's brand and category.  Each
-    distinct text is compared once; pairs whose lengths rule out the cutoff are
-    not compared."""
-    asked = rows.select("query", "brand", "category").distinct()
-    names = _shared(spark, sf_dir, "catalog_features").groupBy("brand", "category", "normalized_name").agg(F.min("nl_pos").alias("pos"), F.min_by("uae_assetid", "nl_pos").alias("asset_id"))
+def _names(catalog: DataFrame) -> DataFrame:
+    """All ids of each name, in catalog order, within its brand and category, its brand, its category and the whole catalog."""
+    scopes = F.explode(F.array(*(F.struct(b.alias("in_brand"), c.alias("in_category")) for b in (F.col("brand"), F.lit(ANY)) for c in (F.col("category"), F.lit(ANY)))))
+    each = catalog.select("normalized_name", "nl_pos", "uae_assetid", scopes.alias("scope")).select("scope.*", "normalized_name", "nl_pos", "uae_assetid")
+    ids = F.array_sort(F.collect_list(F.struct("nl_pos", "uae_assetid")))["uae_assetid"]
+    named = each.groupBy("in_brand", "in_category", "normalized_name").agg(F.min("nl_pos").alias("pos"), ids.alias("ids"))
+    return named.select("in_brand", "in_category", "normalized_name", "pos", F.array_join("ids", ", ").alias("asset_id"), F.size("ids").cast("long").alias("n_ids"))
+
+
+def _compared(asked: DataFrame, names: DataFrame, cutoff: float, top: int) -> DataFrame:
+    """The most similar names of each row's scope.  Pairs whose lengths rule out the cutoff are not compared."""
+    least = F.greatest(F.lit(cutoff), "least")
     bound = 200.0 * F.least(F.length("query"), F.length("normalized_name")) / (F.length("query") + F.length("normalized_name"))
-    scored = asked.join(names, ["brand", "category"]).filter(bound >= cutoff).withColumn("score", F.round(token_sort_ratio_udf("query", "normalized_name"), 2)).filter(F.col("score") >= cutoff)
+    scored = asked.join(names, ["in_brand", "in_category"]).filter(bound >= least).withColumn("score", F.round(token_sort_ratio_udf("query", "normalized_name"), 2)).filter(F.col("score") >= least)
     best = Window.partitionBy("query", "brand", "category").orderBy(F.desc("score"), "pos")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query", "brand", "category", "normalized_name", "asset_id", "score", F.col("rank").cast("long").alias("rank"))
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query", "brand", "category", "normalized_name", "asset_id", "n_ids", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def similar(spark: SparkSession, sf_dir: str, rows: DataFrame, cutoff: float = NEAR, top: int = 3, fallback: bool = True) -> DataFrame:
+    """The most similar catalog names of each row.  Each distinct text is
+    compared once.
+
+    A row meets the names of its brand and category; in category 'other' all
+    names of its brand, or the whole catalog if that has no such brand; without
+    a brand all names of its category.  A row without both needs a score of
+    ``HIGH``.  With ``fallback``, a row that finds nothing at ``SIMILAR`` among
+    its brand's names meets those of all brands, in its category unless that is
+    'other'.  Laptops have no such fallback, and neither do rows whose brand has
+    no name in their category (J4)."""
+    catalog = _shared(spark, sf_dir, "catalog_features").select("brand", "category", "normalized_name", "nl_pos", "uae_assetid")
+    names = _names(catalog)
+    other = F.col("category") == "other"
+    asked = rows.select("query", "brand", "category").distinct().join(F.broadcast(catalog.select("brand", F.lit(True).alias("known")).distinct()), "brand", "left")
+    everywhere = (F.col("brand") == "") | other & F.col("known").isNull()
+    least = F.when((F.col("brand") == "") & other, HIGH).otherwise(0.0)
+    asked = asked.select("query", "brand", "category", F.when(everywhere, ANY).otherwise(F.col("brand")).alias("in_brand"), F.when(other, ANY).otherwise(F.col("category")).alias("in_category"), least.alias("least"))
+    scoped = _compared(asked, names, cutoff, top)
+    if not fallback:
+        return scoped
+    scoped = scoped.cache()
+    keys = ["query", "brand", "category"]
+    scopes = F.broadcast(names.select("in_brand", "in_category").distinct())
+    laptop = (F.col("category") == "laptop") & F.expr(a.is_laptop(SPARK, "query"))
+    rest = asked.filter((F.col("in_brand") != ANY) & ~laptop).join(scopes, ["in_brand", "in_category"], "left_semi").join(scoped.filter(F.col("score") >= SIMILAR).select(*keys), keys, "left_anti")
+    wide = _compared(rest.withColumn("in_brand", F.lit(ANY)), names, SIMILAR, top)
+    both = scoped.withColumn("wider", F.lit(0)).unionByName(wide.withColumn("wider", F.lit(1)))
+    return both.withColumn("widest", F.max("wider").over(Window.partitionBy(*keys))).filter("wider = widest").drop("wider", "widest")
 
 
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +78,7 @@ def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _shared(spark, sf_dir, "input_features").select("query", "brand", "category")
-    return similar(spark, sf_dir, rows, NEAR, 3)
+    return similar(spark, sf_dir, rows, NEAR, 3, fallback=False)
 
 
 def pipeline_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,9 +89,9 @@ def pipeline_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = exact.unionByName(by_word.join(exact.select("row_id"), "row_id", "left_anti"))
     found = rows.join(known, "row_id", "left")
     rest = found.filter(F.col("method").isNull()).select("query", "brand", "category")
-    near = similar(spark, sf_dir, rest).groupBy("query", "brand", "category").agg(F.max_by("asset_id", "score").alias("f_id"), F.max_by("normalized_name", F.struct("score", -F.col("rank"))).alias("f_name"), F.max("score").alias("f_score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "asset_id"))), lambda z: z["asset_id"]), ", ").alias("alternatives"))
+    near = similar(spark, sf_dir, rest).groupBy("query", "brand", "category").agg(F.min_by("asset_id", "rank").alias("f_id"), F.min_by("n_ids", "rank").alias("f_n_ids"), F.min_by("normalized_name", "rank").alias("f_name"), F.max("score").alias("f_score"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "asset_id"))), lambda z: z["asset_id"]), ", ").alias("alternatives"))
     found = found.join(near, ["query", "brand", "category"], "left")
-    found = found.select("row_id", "source_sheet", "query", "category", "alternatives", F.coalesce("mapped_ids", "f_id").alias("mapped_uae_assetid"), F.coalesce("n_ids", F.when(F.col("f_id").isNotNull(), 1)).alias("n_ids"), F.coalesce("matched_on", "f_name").alias("matched_on"), F.coalesce("method", F.when(F.col("f_score") >= SIMILAR, "fuzzy").when(F.col("f_score").isNotNull(), "fuzzy_near_miss"), F.lit("none")).alias("method"), F.coalesce("match_score", "f_score", F.lit(0.0)).alias("match_score"))
+    found = found.select("row_id", "source_sheet", "query", "category", "alternatives", F.coalesce("mapped_ids", "f_id").alias("mapped_uae_assetid"), F.coalesce("n_ids", "f_n_ids").alias("n_ids"), F.coalesce("matched_on", "f_name").alias("matched_on"), F.coalesce("method", F.when(F.col("f_score") >= SIMILAR, "fuzzy").when(F.col("f_score").isNotNull(), "fuzzy_near_miss"), F.lit("none")).alias("method"), F.coalesce("match_score", "f_score", F.lit(0.0)).alias("match_score"))
     gated = apply_layers(found.withColumns({"q_norm": F.coalesce("query", F.lit("")), "c_norm": F.coalesce("matched_on", F.lit(""))}), [*matching.pair_layers(SPARK), {"reasons": matching.gate_reasons(SPARK)}])
     passes = F.size("reasons") == 0
     fuzzy = F.col("method").startswith("fuzzy")
