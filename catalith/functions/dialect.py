@@ -82,6 +82,9 @@ class Spark(Dialect):
     def explode(self, items: str, name: str) -> str:
         return f"LATERAL VIEW explode({items}) lv AS {name}"
 
+    def places(self, x: str) -> str:
+        return f"sequence(1, length({x}))"
+
     def count_if(self, test: str) -> str:
         return f"count_if({test})"
 
@@ -193,6 +196,9 @@ class Duck(Dialect):
     def explode(self, items: str, name: str) -> str:
         return f", unnest({items}) AS lv({name})"
 
+    def places(self, x: str) -> str:
+        return f"generate_series(1, length({x}))"
+
     def count_if(self, test: str) -> str:
         return f"CAST(count(*) FILTER (WHERE {test}) AS BIGINT)"
 

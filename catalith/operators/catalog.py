@@ -70,12 +70,28 @@ def _buckets(d: Dialect, table: Table) -> str:
     return f"SELECT brand, category, CAST(count(DISTINCT normalized_name) AS BIGINT) AS n_names, CAST(count(*) AS BIGINT) AS n_rows FROM {d.fence(features(d, table))} AS f GROUP BY brand, category"
 
 
+#: Letters of a base by which it is looked up in names, by its length.
+_GRAMS = (12, 4, 1)
+
+
+def custom_config(d: Dialect, source: str) -> str:
+    """Names said with 'custom configuration' go if a more specific name contains their base.
+    A base is looked up by its first letters at every place of the other names,
+    so none is missed; an empty base is in any name."""
+    said = f"SELECT nl_pos, nl_name, lower(nl_name) AS low, {d.contains('lower(nl_name)', 'custom configuration')} AS custom FROM ({source}) AS c"
+    base = "CASE WHEN contains(low, ' - custom') THEN split_part(nl_name, ' - Custom', 1) ELSE replace(replace(nl_name, 'custom configuration', ''), 'Custom Configuration', '') END"
+    length = d.case(*((f"length(base) >= {n}", str(n)) for n in _GRAMS), other="0")
+    bases = f"SELECT nl_pos, base, substr(base, 1, {length}) AS gram FROM (SELECT nl_pos, lower(trim({base})) AS base FROM w WHERE custom) AS b0"
+    each = " UNION ".join(f"SELECT low, gram FROM o {d.explode(d.each(d.places('low'), lambda i, n=n: f'substr(low, {i}, {n})', 'i'), 'gram')}" for n in _GRAMS)
+    grams = f"{each} UNION SELECT min(low) AS low, '' AS gram FROM o HAVING count(*) > 0"
+    same = "SELECT DISTINCT b.nl_pos AS gone FROM b JOIN g ON b.gram = g.gram AND contains(g.low, b.base)"
+    return f"WITH w AS ({said}), o AS (SELECT DISTINCT low FROM w WHERE NOT custom), b AS ({bases}), g AS ({grams}), s AS ({same}) SELECT w.nl_pos, w.nl_name FROM w LEFT JOIN s ON w.nl_pos = s.gone WHERE s.gone IS NULL"
+
+
 def _custom_config(d: Dialect, table: Table) -> str:
-    """Names said with 'custom configuration' go if a more specific row begins with the same words.
-    Joined on the first three words, so no row meets all others."""
-    words = f"SELECT nl_pos, nl_name, {d.rep(d.rep('lower(nl_name)', 'custom configuration', ''), ' +', ' ')} AS base, {d.ext('lower(nl_name)', r'^(\S+ \S+)')} AS head, CASE WHEN nl_pos % 7 = 0 THEN true ELSE false END AS custom FROM ({clean(d, table)}) AS c"
-    same = f"SELECT DISTINCT a.nl_pos AS gone FROM w AS a JOIN w AS b ON a.head = b.head AND a.custom AND NOT b.custom AND b.nl_pos <> a.nl_pos AND contains(b.base, trim(a.base))"
-    return f"WITH w AS ({words}), s AS ({same}) SELECT w.nl_pos, w.nl_name FROM w LEFT JOIN s ON w.nl_pos = s.gone WHERE s.gone IS NULL"
+    """Some names of the fixture are said as custom configurations of their first two words."""
+    head = d.ext("nl_name", r"^(\S+ \S+)")
+    return custom_config(d, f"SELECT nl_pos, CASE WHEN nl_pos % 7 = 0 THEN concat({head}, ' - Custom configuration') ELSE nl_name END AS nl_name FROM ({clean(d, table)}) AS k")
 
 
 def _duplicates(d: Dialect, table: Table) -> str:
