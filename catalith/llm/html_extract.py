@@ -1,26 +1,34 @@
 """Main text of web pages by the distribution of text over lines.
 
-The page is read once, by a tolerant scanner: scripts, styles, comments and the
-head go, block elements part lines, inline elements do not.  A line's length is
-the characters outside links; lines of menus, page headers and footers, side
-bars, notices, adverts, forms and reader comments have length 0, told by their
-element, role, class or id.  Sums over a sliding window of lines give the
-distribution: where a sum surges past the threshold the text starts, where sums
-dive to nothing it ends, and the lines between are kept.  Where the page marks
-its article (``article``, ``main``, ``role=main``, ``itemprop=articleBody``) the
-lines inside are the distribution's whole range, and any line with text counts
-as a surge.
+The page is read once, by a tolerant scanner whose work is linear in the page:
+scripts, styles, comments and the head go, block elements part lines, inline
+elements do not.  Then, for every page alike:
+
+1. Lines of menus, page headers and footers, side bars, notices, adverts, forms
+   and reader comments, told by their element, role, class or id, are taken
+   out; if the page marks articles (``article``, ``main``, ``role=main``,
+   ``itemprop=articleBody``) that hold text outside links, so are the lines
+   outside all of them.
+2. A line's length is its characters outside links; in a marked article all of
+   its characters.
+3. Lengths are summed over a sliding window of lines.  Where a sum surges to the
+   threshold the text starts, where the sums dive to nothing it ends, and the
+   lines between are kept, with the headings right above them.  On a page whose
+   sums all stay below the threshold, its largest sum is the threshold.
 
 Edge cases: a null or empty page has the text ``''``; broken and unclosed markup
-is read as far as it goes; repeated rows each give a row; null ids stay null; an
-empty table gives none; other columns are not read.
+is read as far as it goes (a tag that never ends swallows the rest, as in a
+browser); repeated rows each give a row; null ids stay null; an empty table
+gives none; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +38,9 @@ from catalith.llm.common import rowwise
 #: Lines in a window, and the characters in one that make a surge.
 WINDOW, SURGE = 3, 80
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[/!?][^>]*>|<[a-zA-Z][^<>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_NAME = re.compile(r"[^\s/>]*+")
+_STOP = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
 _RAW = {"script", "style", "textarea", "noscript", "template", "svg", "iframe", "object", "title", "xmp", "math", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -55,10 +64,84 @@ class _Line:
     heading: bool = False
 
 
+class _Element(NamedTuple):
+    tag: str
+    bare: bool
+    #: Inside a structure that no article ends.
+    fixed: bool
+    article: int
+    #: Place of the nearest block element in the stack, itself included.
+    block: int
+
+
+class _Scanner:
+    """Tags and the text between them; every step moves on."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.quoted = True  # until a quotation in a tag has swallowed the rest of the page
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name stops at ``at``; quotations may hold ``>``."""
+        page, i = self.page, at
+        while self.quoted and (m := _STOP.search(page, i)):
+            if m[0] == ">":
+                return m.end()
+            close = page.find(m[0], m.end())
+            if close < 0:
+                break
+            i = close + 1
+        self.quoted = False
+        return page.find(">", at) + 1 or len(page)
+
+    def _past(self, end: str, at: int) -> int:
+        found = self.page.find(end, at)
+        return len(self.page) if found < 0 else found + len(end)
+
+    def read(self, reader: _Reader) -> None:
+        page, low = self.page, None
+        while self.at < len(page):
+            lt = page.find("<", self.at)
+            if lt < 0:
+                reader.text(page[self.at :])
+                return
+            letter = page[lt + 1 : lt + 2]
+            closing = letter == "/"
+            first = page[lt + 2 : lt + 3] if closing else letter
+            if not (first.isascii() and first.isalpha() or letter in ("!", "?", "/") and letter):
+                reader.text(page[self.at : lt + 1])
+                self.at = lt + 1
+                continue
+            if lt > self.at:
+                reader.text(page[self.at : lt])
+            if page.startswith("<!--", lt):
+                self.at = self._past("-->", lt + 4)
+            elif page.startswith("<![CDATA[", lt):
+                self.at = self._past("]]>", lt)
+            elif not (first.isascii() and first.isalpha()):
+                self.at = self._past(">", lt)
+            else:
+                name = _NAME.match(page, lt + 1 + closing)
+                tag = name[0].lower()
+                self.at = self._past(">", name.end()) if closing else self._end(name.end())
+                if closing:
+                    reader.end(tag)
+                elif tag in _RAW:
+                    low = page.lower() if low is None else low
+                    close = low.find(f"</{tag}", self.at) if len(low) == len(page) else -1
+                    if len(low) != len(page):  # a letter whose lower form is longer
+                        m = re.compile(f"</{re.escape(tag)}", re.I).search(page, self.at)
+                        close = m.start() if m else -1
+                    self.at = len(page) if close < 0 else self._past(">", close)
+                else:
+                    reader.start(tag, page[name.end() : self.at])
+
+
 class _Reader:
     def __init__(self) -> None:
         self.lines: list[_Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it is bare, its article
+        self.open: list[_Element] = []
+        self.depth: Counter[str] = Counter()  # open elements by name
         self.articles = 0
         self.line: _Line | None = None
 
@@ -71,19 +154,28 @@ class _Reader:
         if not self.line and not raw.strip():
             return
         if not self.line:
-            _, bare, article = self.open[-1] if self.open else ("", False, 0)
-            self.line = _Line(bare=bare, article=article, heading=any(t[0] in "hH" and t[1:].isdigit() for t, _, _ in self.open[-3:]))
+            top = self.open[-1] if self.open else None
+            self.line = _Line(bare=bool(top and top.bare), article=top.article if top else 0, heading=any(e.tag[0] in "hH" and e.tag[1:].isdigit() for e in self.open[-3:]))
         said = html.unescape(raw)
         self.line.text.append(said)
-        if any(t == "a" for t, _, _ in self.open[-6:]):
+        if any(e.tag == "a" for e in self.open[-6:]):
             self.line.linked += len(said.strip())
 
+    def close(self, to: int) -> None:
+        for e in self.open[to:]:
+            self.depth[e.tag] -= 1
+        del self.open[to:]
+
     def start(self, tag: str, attributes: str) -> None:
+        if tag == "body":
+            self.close(0)
         if tag not in _INLINE:
             self.part()
         if tag in _VOID:
             return
-        _, bare, article = self.open[-1] if self.open else ("", False, 0)
+        if tag not in _INLINE and self.open and self.open[self.open[-1].block].tag == "p":
+            self.close(self.open[-1].block)  # a block ends the paragraph before it
+        _, bare, fixed, article, block = self.open[-1] if self.open else _Element("", False, False, 0, 0)
         known = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes else {}
         named = f"{known.get('class', '')} {known.get('id', '')}"
         role = known.get("role", "").lower()
@@ -93,59 +185,47 @@ class _Reader:
             if not article:
                 self.articles += 1
                 article = self.articles
-                bare = bare and any(t in _BARE - {"head"} for t, b, _ in self.open if b)  # an unclosed advert ends here
+                bare = bare and fixed  # an unclosed advert ends here
         elif tag not in _INLINE or noisy or role in _ROLES:
             bare = bare or noisy or tag in _BARE or role in _ROLES or not article and (tag == "header" or bool(_HEADER.search(named)))
+            fixed = fixed or tag in _BARE and tag != "head"
         bare = bare or "hidden" in known or known.get("aria-hidden") == "true" or "display:none" in known.get("style", "").replace(" ", "")
-        self.open.append((tag, bare, article))
+        at = len(self.open)
+        self.open.append(_Element(tag, bare, fixed, article, at if tag not in _INLINE or not at else block))
+        self.depth[tag] += 1
 
     def end(self, tag: str) -> None:
         if tag not in _INLINE:
             self.part()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
+        if not self.depth[tag]:
+            return
+        i = len(self.open) - 1
+        while self.open[i].tag != tag:
+            i -= 1
+        self.close(i)
 
     def read(self, page: str) -> list[_Line]:
-        at, low = 0, None
-        while m := _TAG.search(page, at):
-            if m.start() > at:
-                self.text(page[at : m.start()])
-            at = m.end()
-            if not m[2]:
-                continue
-            tag = m[2].lower()
-            if m[1]:
-                self.end(tag)
-            elif tag in _RAW:
-                low = page.lower() if low is None else low
-                close = low.find(f"</{tag}", at)
-                at = len(page) if close < 0 else (page.find(">", close) + 1 or len(page))
-            else:
-                if tag == "body":
-                    self.open = []
-                self.start(tag, m[3])
-        if at < len(page):
-            self.text(page[at:])
+        _Scanner(page).read(self)
         self.part()
         return self.lines
 
 
 def _kept(lengths: list[int], surge: int, window: int) -> list[bool]:
-    """Which lines lie between a surge and the next dive."""
-    n = len(lengths)
-    sums, keep = [sum(lengths[i : i + window]) for i in range(n)], [False] * n
+    """Which lines lie between a surge and the next dive of the sums over windows."""
+    n, total = len(lengths), sum(lengths[:window])
+    sums, keep = [], [False] * n
+    for i in range(n):
+        sums.append(total)
+        total += (lengths[i + window] if i + window < n else 0) - lengths[i]
+    surge = max(1, min(surge, max(sums, default=0)))
     i = 0
     while i < n:
         if sums[i] >= surge:
             while i < n and not lengths[i]:
                 i += 1
-            end = i
-            while end < n and sums[end] > 0:
-                keep[end] = True
-                end += 1
-            i = end
+            while i < n and sums[i] > 0:
+                keep[i] = True
+                i += 1
         else:
             i += 1
     return keep
@@ -153,26 +233,21 @@ def _kept(lengths: list[int], surge: int, window: int) -> list[bool]:
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = _Reader().read(page) if page else []
-    texts = [" ".join("".join(x.text).split()) for x in lines]
-    for x, t in zip(lines, texts, strict=True):
-        x.bare = x.bare or not x.article and len(t) < 200 and bool(_NOTICE.match(t))
-    free = [0 if x.bare or x.linked * 5 >= len(t) * 3 and x.linked else max(len(t) - x.linked, 0) for x, t in zip(lines, texts, strict=True)]
-    weight: dict[int, int] = {}
-    for x, n in zip(lines, free, strict=True):
-        if x.article:
-            weight[x.article] = weight.get(x.article, 0) + n
-    if weight and (best := max(weight, key=lambda a: (weight[a], -a))) and weight[best]:
-        lengths = [len(t) if x.article == best and not x.bare else 0 for x, t in zip(lines, texts, strict=True)]
-        keep = [n > 0 for n in lengths]
-    else:
-        keep = _kept(free, surge, window)
-        if not any(keep):
-            keep = _kept(free, 1, window)
-        for i in range(len(lines) - 1, 0, -1):  # headings right above the text are of the article
-            if keep[i] and not keep[i - 1] and lines[i - 1].heading and not lines[i - 1].bare:
-                keep[i - 1] = True
-        keep = [k and not x.bare for k, x in zip(keep, lines, strict=True)]
-    return " ".join(t for t, k in zip(texts, keep, strict=True) if k and t)
+    said = [(x, t) for x, t in ((x, " ".join("".join(x.text).split())) for x in lines) if t and not x.bare and (x.article or len(t) >= 200 or not _NOTICE.match(t))]
+
+    def free(x: _Line, t: str) -> int:
+        return 0 if x.linked * 5 >= len(t) * 3 and x.linked else max(len(t) - x.linked, 0)
+
+    weight: Counter[int] = Counter()
+    for x, t in said:
+        weight[x.article] += free(x, t)
+    marked = {a for a, n in weight.items() if a and n}
+    said = [(x, t) for x, t in said if not marked or x.article in marked]
+    keep = _kept([len(t) if marked else free(x, t) for x, t in said], surge, window)
+    for i in range(len(said) - 1, 0, -1):  # headings right above the text are of the article
+        if keep[i] and not keep[i - 1] and said[i - 1][0].heading:
+            keep[i - 1] = True
+    return " ".join(t for (_, t), k in zip(said, keep, strict=True) if k)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:

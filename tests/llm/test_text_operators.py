@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -121,6 +122,57 @@ def test_pages_equal_their_articles(spark):
         assert row.text == " ".join(html.unescape(plain).split())
 
 
+def plain_kept(lengths, surge, window):
+    """Runs of lines whose windows hold text, that have a window with enough of it."""
+    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+    least = max(1, min(surge, max(sums, default=0)))
+    keep, i = [False] * len(lengths), 0
+    while i < len(lengths):
+        end = i
+        while end < len(lengths) and sums[end] > 0:
+            end += 1
+        strong = [j for j in range(i, end) if sums[j] >= least]
+        for j in range(strong[0] if strong else end, end):
+            keep[j] = any(lengths[strong[0] : j + 1])
+        i = max(end, i + 1)
+    return keep
+
+
+def test_surges_and_dives_equal_brute_force():
+    rng = random.Random(12)
+    for _ in range(3000):
+        lengths = [rng.choice((0, 0, 0, 5, 30, 90)) for _ in range(rng.randrange(0, 25))]
+        window, surge = rng.randrange(1, 5), rng.choice((1, 20, 80, 200))
+        assert html_extract._kept(lengths, surge, window) == plain_kept(lengths, surge, window), (lengths, surge, window)
+
+
+def test_pages_without_article_tags_give_the_same_text(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    same = sum(html_extract.main_text(re.sub(r"</?article>", "", p.html)) == html_extract.main_text(p.html) for p in pages)
+    bare = sum(html_extract.main_text(re.sub(r"</?(?:article|nav)>", "", p.html)) == html_extract.main_text(p.html) for p in pages)
+    assert same >= 0.95 * len(pages) and bare >= 0.95 * len(pages)
+
+
+def test_all_articles_stay_and_teasers_go():
+    page = "<main><article><p>First.</article><article class=comment><p>Nice.</article><article><a href=x>More news</a></article></main><p>out</p><article><h2>Second</h2><div class=ad>Buy</div><p><a href=y>Fin.</a></p></article>"
+    assert html_extract.main_text(page) == "First. More news Second Fin."
+    page = "<article><p>First.</article><article><a href=x>More news</a></article><article><p>Second.</article><p>out"
+    assert html_extract.main_text(page) == "First. Second."
+
+
+def test_a_block_ends_a_paragraph_and_quotations_hold_signs():
+    assert html_extract.main_text('<p class="ad">Buy<p title="a > b">Text <b>bold<p>more') == "Text bold more"
+    assert html_extract.main_text('<p title="never closed>Text</p><p>more</p>') == "Text more"
+    assert html_extract.main_text("1 < 2 &amp; 3<br>x") == "1 < 2 & 3 x"
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<" * 1_000_000, "<p>" * 100_000 + "</b>" * 100_000, '<a "' * 200_000, '<a ">" ' * 150_000, "<!-- " * 200_000, "<p " + "a" * 500_000 + "=>x", "<b>" * 100_000 + "<div></div>" * 50_000, "<p><button>" + "<b>" * 100_000 + "<i></i>" * 50_000, "&" * 500_000, "<script>" * 100_000, "<div class=ad>" * 50_000 + "<article></article>" * 20_000])
+def test_pathological_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
 # media
 
 
