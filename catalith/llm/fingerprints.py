@@ -1,15 +1,16 @@
 """Blocks of fingerprints, and which of them have equals in other documents.
 
 A fingerprint is (key, mark, doc): ``key`` says what can be equal at all,
-``mark`` what is equal as a whole.  Sorted blocks of them travel as one binary
-value, so a row of the shuffle holds thousands.  In each bucket the blocks are
-merged; a mark that stands in an earlier document is *covered*; the first
-document of a mark, whose key has other marks too, is *open* and must be looked
-at more closely; what has no equal is gone.
-
-A key with very many marks in one task (a passage in ever new surroundings) is
-dealt over buckets by its marks and known to be open, so no bucket grows with
-it.  Within a task, only the first document of a mark is sent as a candidate.
+``mark`` what is equal as a whole, 64 bits each.  Sorted blocks of them travel as
+one binary value, so a row of the shuffle holds hundreds.  In each bucket the
+blocks are merged; a mark that stands in an earlier document is *covered*; the
+first document of a mark, whose key has other marks too, is *open* and must be
+looked at more closely; what has no equal is gone.
+
+Keys are spread evenly over buckets, whose number follows the size of the data.
+A key with many marks in one task (a passage in ever new surroundings) is dealt
+over buckets by its marks and known to be open, so no bucket grows with it.
+Within a task, only the first document of a mark is sent as a candidate.
 """
 
 from __future__ import annotations
@@ -19,15 +20,25 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U = np.uint64
-#: Fingerprints that a task gathers before it sends blocks; marks of one key in a task from which on it is dealt out.
-GATHER, HOT = 300_000, 1_000
+#: Fingerprints that a task gathers at least and at most before it sends blocks, and for
+#: each bucket; those that a bucket may hold; marks of one key in a task from which on it may be dealt out.
+GATHER, MOST, SHARE, PER_BUCKET, HOT = 200_000, 2_000_000, 32, 200_000, 16
 COVERED, OPEN, RUN = 0, 1, 2
 _KNOWN, _DEALT, _SIGN, _OLD = 1, 2, 4, 8
 NO_ID = np.iinfo(np.int64).max
+_SIGN_MARK = U(0xFFFFFFFFFFFFFFFF)
+
+
+def document_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What orders documents and tells them apart: the id; for a null id a number
+    above 2**62 from the text, so that such rows are later than all others, do not
+    meet in one place, and count as one document only if their texts are equal."""
+    own = F.xxhash64(F.coalesce(text_col, F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return F.coalesce(id_col, own)
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -42,11 +53,9 @@ def _unpacked(data: bytes, kind: type, n: int) -> np.ndarray:
 
 
 def encode(key: np.ndarray, mark: np.ndarray, doc: np.ndarray, flag: np.ndarray) -> bytes:
-    """A block; keys and marks keep their upper 48 bits.  Rows are sorted by key."""
+    """A block.  Rows are sorted by key."""
     docs, which = np.unique(doc, return_inverse=True)
-    key = key >> U(16)
-    delta = np.diff(key, prepend=U(0))
-    parts = [_packed(delta), _packed(mark >> U(16)), _packed(which.astype(np.uint32)), _packed(flag.astype(np.uint8)), _packed(np.diff(docs, prepend=0))]
+    parts = [_packed(np.diff(key, prepend=U(0))), _packed(mark), _packed(which.astype(np.uint32)), _packed(flag.astype(np.uint8)), _packed(np.diff(docs, prepend=0))]
     return np.array([len(key), len(docs), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
 
 
@@ -54,7 +63,7 @@ def decode(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     n, m, *sizes = np.frombuffer(block, np.int64, 7).tolist()
     at = np.cumsum([56, *sizes])
     delta, mark, which, flag, docs = (_unpacked(block[a:b], k, c) for a, b, k, c in zip(at[:-1], at[1:], (U, U, np.uint32, np.uint8, np.int64), (n, n, n, n, m), strict=True))
-    return np.cumsum(delta) << U(16), mark << U(16), np.cumsum(docs)[which], flag
+    return np.cumsum(delta), mark, np.cumsum(docs)[which], flag
 
 
 def _groups(key: np.ndarray, mark: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,22 +82,24 @@ Scan = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def blocks(rows: DataFrame, scan: Scan, buckets: int) -> DataFrame:
-    """``bucket, block`` of the fingerprints that ``scan`` finds in batches of rows."""
+    """``bucket, block`` of the fingerprints that ``scan`` finds in batches of rows.
+    Their keys must be spread evenly over 64 bits."""
+    gather = min(max(GATHER, SHARE * buckets), MOST)
+    many = max(HOT, gather // (4 * buckets))  # a quarter of a bucket's share
 
     def flush(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, mark, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        key, mark = key & ~U(0xFFFF), mark & ~U(0xFFFF)
         order, new_key, new_mark = _groups(key, mark, doc)
         key, mark, doc = key[order], mark[order], doc[order]
         first = doc[np.flatnonzero(new_mark)][np.cumsum(new_mark) - 1]
         flag = np.where(~new_mark & (doc > first), _KNOWN, 0).astype(np.uint8)
-        keep = new_mark | (flag == _KNOWN)
+        keep = new_mark | (flag == _KNOWN) & np.append(True, doc[1:] != doc[:-1])[: len(doc)]
         marks = np.bincount(np.cumsum(new_key) - 1, new_mark)
-        hot = (marks > HOT)[np.cumsum(new_key) - 1] & (flag == 0)
+        hot = (marks > many)[np.cumsum(new_key) - 1] & (flag == 0)
         flag[hot] |= _DEALT
         to = np.where(hot, _bucket(mark, buckets), _bucket(key, buckets))
         signs = np.flatnonzero(new_key & hot)  # tell the key's own bucket
-        key, mark, doc, flag, to = (np.append(x[keep], y) for x, y in ((key, key[signs]), (mark, ~U(0xFFFF) + np.zeros(len(signs), U)), (doc, np.full(len(signs), NO_ID)), (flag, np.full(len(signs), _SIGN, np.uint8)), (to, _bucket(key[signs], buckets))))
+        key, mark, doc, flag, to = (np.append(x[keep], y) for x, y in ((key, key[signs]), (mark, np.full(len(signs), _SIGN_MARK)), (doc, np.full(len(signs), NO_ID)), (flag, np.full(len(signs), _SIGN, np.uint8)), (to, _bucket(key[signs], buckets))))
         order = np.lexsort((key, to))
         key, mark, doc, flag, to = (x[order] for x in (key, mark, doc, flag, to))
         head = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
@@ -101,7 +112,7 @@ def blocks(rows: DataFrame, scan: Scan, buckets: int) -> DataFrame:
             for some in scan(part):
                 found.append(some)
                 size += len(some[0])
-                if size >= GATHER:
+                if size >= gather:
                     yield from flush(found)
                     found, size = [], 0
         if size:
@@ -113,7 +124,7 @@ def blocks(rows: DataFrame, scan: Scan, buckets: int) -> DataFrame:
 def merge(sent: DataFrame, with_runs: str | None = None) -> DataFrame:
     """``doc, mark, kind`` of covered and open fingerprints.  ``with_runs`` adds, as
     kind RUN, a sorted run of the first documents of all marks (``all``) or of
-    those that are new (``new``), in ``bucket, block``."""
+    those that are new (``new``), in ``bucket, block``, with its size as ``mark``."""
     nothing = {"doc": pa.int64(), "mark": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "block": pa.binary()}
 
     def one(table: pa.Table) -> pa.Table:
@@ -144,15 +155,33 @@ def merge(sent: DataFrame, with_runs: str | None = None) -> DataFrame:
                 old = np.bincount(np.cumsum(new_mark) - 1, flag & _OLD > 0) > 0 if len(key) else np.zeros(0, bool)
                 keep &= ~old[np.cumsum(new_mark) - 1] if len(key) else keep
             if keep.any():
-                data = encode(key[keep], mark[keep], doc[keep], np.full(int(keep.sum()), _OLD, np.uint8) | flag[keep] & (_DEALT | _SIGN))
-                row = {"doc": [None], "mark": [None], "kind": [RUN], "bucket": [table.column("bucket")[0].as_py()], "block": [data]}
+                size = int(keep.sum())
+                data = encode(key[keep], mark[keep], doc[keep], np.full(size, _OLD, np.uint8) | flag[keep] & (_DEALT | _SIGN))
+                row = {"doc": [None], "mark": [size], "kind": [RUN], "bucket": [table.column("bucket")[0].as_py()], "block": [data]}
                 tables.append(pa.table({n: pa.array(v, nothing[n]) for n, v in row.items()}))
         return pa.concat_tables(tables)
 
     return sent.groupBy("bucket").applyInArrow(one, "doc long, mark long, kind int, bucket int, block binary")
 
 
+def dealt_anew(runs: DataFrame, buckets: int) -> DataFrame:
+    """Blocks of a run dealt over another number of buckets."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for block in part.column("block").to_pylist():
+                key, mark, doc, flag = decode(block)
+                to = np.where((flag & _DEALT > 0) & (flag & _SIGN == 0), _bucket(mark, buckets), _bucket(key, buckets))
+                order = np.lexsort((key, to))
+                key, mark, doc, flag, to = (x[order] for x in (key, mark, doc, flag, to))
+                head = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                data = [encode(key[a:b], mark[a:b], doc[a:b], flag[a:b]) for a, b in zip(head, [*head[1:], len(to)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(to[head], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "block"])
+
+    return runs.select("bucket", "block").mapInArrow(run, "bucket int, block binary")
+
+
 def by_document(found: DataFrame) -> DataFrame:
     """``doc, covered, open``: the marks of each document, as arrays."""
     kinds = ((COVERED, "covered"), (OPEN, "open"))
-    return found.filter(F.col("kind") != RUN).groupBy("doc").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("mark"))).alias(n) for k, n in kinds))
+    return found.filter(F.col("kind") != RUN).groupBy("doc").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("mark"))).alias(n) for k, n in kinds))

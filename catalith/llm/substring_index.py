@@ -13,15 +13,20 @@ missed.  A mark that an earlier document has removes all its windows; where an
 anchor stands in other surroundings, the windows themselves are compared, by
 128 bits of hash over all their words.
 
-Edge cases: null and wordless texts have no windows; a null id counts as later
-than all others; rows that share an id are one document for the rule (nothing in
-them is earlier than themselves) and each gets a row; an empty table gives no
-rows; other columns are not read.
+What the index holds is said by a manifest, which is put in place after its runs
+are whole; runs that no manifest names (of a driver that was lost) do not count.
+
+Edge cases: null and wordless texts have no windows; a row with a null id is a
+document of its own, later than all others, among such rows by a hash of the
+text (equal texts are one document); rows that share an id are one document for
+the rule (nothing in them is earlier than themselves) and each gets a row; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +39,7 @@ from pyspark.sql.window import Window
 
 from catalith.llm import fingerprints as fp
 from catalith.llm.common import cut, id_and_text, remove, scratch, shuffle_partitions, small_batches
-from catalith.llm.rolling import Prefix, anchors, batches, cover, spread
+from catalith.llm.rolling import Prefix, anchors, batches, cover, mix, spread
 
 WINDOW, GRAM = 13, 6
 U = np.uint64
@@ -51,7 +56,7 @@ def _units(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
-    return part.column("doc_id").fill_null(fp.NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+    return part.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _scan(window: int, gram: int) -> fp.Scan:
@@ -61,42 +66,78 @@ def _scan(window: int, gram: int) -> fp.Scan:
             for begin, end in batches([b" " * 8 * len(w) for w in words]):
                 units, bounds = _units(words[begin:end])
                 found = anchors(units, bounds, window, gram)
-                yield found["anchor"], found["context"], ids[begin:end][found["doc"]]
+                yield mix(found["anchor"]), found["context"], ids[begin:end][found["doc"]]  # anchors are least hashes, so not even
 
     return scan
 
 
 class FingerprintIndex:
-    """Runs below ``path``; their names carry the number of buckets and their order."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 4, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.path, self.fanout, self.window, self.gram = spark, path.rstrip("/"), fanout, window, gram
-        self.runs = self._list()
-        self.buckets = int(self.runs[0].split("-b")[-1]) if self.runs else buckets or shuffle_partitions(spark)
+    """Runs below ``path``.  A manifest names them in order, with their numbers of
+    buckets and of fingerprints; the one with the highest number holds.  Buckets
+    double when they would hold more than ``per_bucket`` fingerprints."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 4, window: int = WINDOW, gram: int = GRAM, per_bucket: int = fp.PER_BUCKET):
+        self.spark, self.path, self.fanout, self.window, self.gram, self.per_bucket = spark, path.rstrip("/"), fanout, window, gram, per_bucket
+        self.store = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.number, held = self._manifest()
+        self.runs: list[tuple[str, int, int]] = [tuple(r) for r in held]
+        self.buckets = self.runs[-1][1] if self.runs else buckets or shuffle_partitions(spark)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, start: str) -> list[str]:
+        where = self._path("")
+        found = self.store.listStatus(where) if self.store.exists(where) else []
+        return sorted(n for n in (s.getPath().getName() for s in found) if n.startswith(start))
+
+    def _manifest(self) -> tuple[int, list]:
+        names = self._names("manifest-")
+        if not names:
+            return 0, []
+        stream = self.store.open(self._path(names[-1]))
+        try:
+            return int(names[-1].split("-")[1]), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, runs: list[tuple[str, int, int]]) -> None:
+        """The new manifest takes effect by one rename; only then old files go."""
+        self.number += 1
+        name = f"manifest-{self.number:08d}"
+        stream = self.store.create(self._path(f"_{name}"), True)
+        stream.write(bytearray(json.dumps(runs).encode()))
+        stream.close()
+        self.store.rename(self._path(f"_{name}"), self._path(name))
+        self.runs = runs
+        kept = {r for r, _, _ in runs}
+        for old in [*(n for n in self._names("manifest-") if n < name), *(n for n in self._names("run-") if n not in kept)]:
+            remove(self.spark, f"{self.path}/{old}")
 
-    def _list(self) -> list[str]:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        store = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in store.listStatus(where) if s.getPath().getName().startswith("run-")) if store.exists(where) else []
+    def _run(self, name: str, buckets: int) -> DataFrame:
+        run = self.spark.read.schema("bucket int, block binary").parquet(f"{self.path}/{name}")
+        return run if buckets == self.buckets else fp.dealt_anew(run, self.buckets)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """``doc, mark, kind`` of what the batch shares with itself and with earlier
-        batches; afterwards the index has the batch.  ``docs`` has doc_id and text."""
+        batches; afterwards the index has the batch.  ``docs`` has key (see
+        ``fingerprints.document_key``) and text."""
+        while sum(n for _, _, n in self.runs) > self.per_bucket * self.buckets:
+            self.buckets *= 2
         sent = fp.blocks(docs, _scan(self.window, self.gram), self.buckets)
-        for run in self.runs:
-            sent = sent.unionByName(self.spark.read.parquet(f"{self.path}/{run}").select("bucket", "block"))
+        for name, buckets, _ in self.runs:
+            sent = sent.unionByName(self._run(name, buckets))
         compact = len(self.runs) + 1 >= self.fanout
-        step = f"{self.path}/step-{len(self.runs)}"
+        name = f"run-{self.number + 1:08d}"
+        step = f"{self.path}/step-{name}"
         fp.merge(sent, "all" if compact else "new").write.mode("overwrite").parquet(step)
         made = self.spark.read.schema("doc long, mark long, kind int, bucket int, block binary").parquet(step)
         found = cut(made.filter(F.col("kind") != fp.RUN).select("doc", "mark", "kind"))
-        number = int(self.runs[-1].split("-")[1]) + 1 if self.runs else 0
-        name = f"run-{number:08d}-b{self.buckets}"
-        made.filter(F.col("kind") == fp.RUN).select("bucket", "block").coalesce(max(1, self.buckets // 4)).write.parquet(f"{self.path}/{name}")
-        for old in self.runs if compact else []:
-            remove(self.spark, f"{self.path}/{old}")
+        run = made.filter(F.col("kind") == fp.RUN)
+        size = run.agg(F.coalesce(F.sum("mark"), F.lit(0)).alias("n")).first()["n"]
+        run.select("bucket", "block").coalesce(max(1, self.buckets // 4)).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self._commit([*([] if compact else self.runs), (name, self.buckets, size)])
         remove(self.spark, step)
-        self.runs = [name] if compact else [*self.runs, name]
         return found
 
 
@@ -128,7 +169,7 @@ def _open_windows(window: int, gram: int):
 
 def _marked(found: dict[str, np.ndarray], marks: list[list[int] | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last window start, and document, of the anchors with these marks."""
-    have = (found["context"] & ~U(0xFFFF)).view(np.int64)
+    have = found["context"].view(np.int64)
     at = np.zeros(len(have), bool)
     border = np.searchsorted(found["doc"], np.arange(len(marks) + 1))
     for i, some in enumerate(marks):
@@ -176,7 +217,7 @@ def strip_repeats(docs: DataFrame, found: DataFrame, window: int = WINDOW, gram:
     by_id = docs.repartition(n, "key")
     marks = fp.by_document(found)
     looked_at = by_id.join(marks.filter(F.size("open") > 0).select("doc", "open").hint("shuffle_hash"), F.col("key") == F.col("doc"))
-    windows = looked_at.select("doc_id", "text", "open").mapInArrow(_open_windows(window, gram), "one long, two long, doc long, known boolean")
+    windows = looked_at.select("key", "text", "open").mapInArrow(_open_windows(window, gram), "one long, two long, doc long, known boolean")
     least = F.min("doc").over(Window.partitionBy("one", "two"))
     late = windows.withColumn("least", least).filter(F.col("known") | (F.col("doc") > F.col("least"))).groupBy("doc").agg(F.collect_set("one").alias("windows"))
     all_marks = marks.join(late, "doc", "full")
@@ -190,17 +231,19 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     documents go through a new index in ``n_batches`` batches of rising ids."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = id_and_text(docs, id_col, text_col).withColumn("key", F.coalesce("doc_id", F.lit(fp.NO_ID)))
-    cuts = source.select("key").approxQuantile("key", [i / n_batches for i in range(1, n_batches)], 0.01) if n_batches > 1 else []
-    edges = sorted({int(c) for c in cuts})
+    source = id_and_text(docs, id_col, text_col).withColumn("key", fp.document_key())
+    shares = [i / n_batches for i in range(1, n_batches)] or [1.0]
+    size = source.agg(F.percentile_approx("doc_id", shares, 1000).alias("cuts"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    edges = sorted({int(c) for c in size["cuts"] or []}) if n_batches > 1 else []
     place = scratch(spark, "windows")
-    index = FingerprintIndex(spark, place, fanout=max(2, n_batches), window=window, gram=gram)
+    # a fingerprint stands for some 20 bytes of text
+    buckets = max(shuffle_partitions(spark), (size["bytes"] or 0) // (20 * fp.PER_BUCKET))
+    index = FingerprintIndex(spark, place, buckets, fanout=max(2, n_batches), window=window, gram=gram)
     found = None
     for low, high in zip([None, *edges], [*edges, None], strict=True):
-        batch = source
-        batch = batch.filter(F.col("doc_id") > low) if low is not None and high is not None else batch.filter(F.col("key") > low) if low is not None else batch
-        batch = batch.filter(F.col("doc_id") <= high) if high is not None else batch
-        part = index.add(batch.select("doc_id", "text"))
+        batch = source if low is None else source.filter(F.col("key") > low)
+        batch = batch if high is None else batch.filter(F.col("key") <= high)
+        part = index.add(batch.select("key", "text"))
         found = part if found is None else found.unionByName(part)
     remove(spark, place)
     return strip_repeats(source, found, window, gram)

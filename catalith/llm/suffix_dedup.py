@@ -17,10 +17,11 @@ bytes stand in an earlier document, or earlier in the same one, all their
 strings are repeats, and no later round sees them.  Ranks are named by hashes,
 112 bits and more with the round before, so that a name needs no dense numbers.
 
-Edge cases: null and empty texts have no bytes; a null id counts as later than
-all others, rows that share an id as one document (each judged alone against
-the others' earlier ids); repeated rows each give a row; an empty table gives no
-rows; other columns are not read.
+Edge cases: null and empty texts have no bytes; a row with a null id is a
+document of its own, later than all others, among such rows by a hash of the
+text (equal texts are one document); rows that share an id count as one document
+(each judged alone against the others' earlier ids); repeated rows each give a
+row; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
-    return part.column("doc_id").fill_null(fp.NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+    return part.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class _Text:
@@ -59,7 +60,7 @@ class _Text:
         self.bounds = np.cumsum([0, *map(len, texts)])
         self.units = _UNITS[np.frombuffer(b"".join(texts), np.uint8)]
         self.found = anchors(self.units, self.bounds, length, gram)
-        self.mark = self.found["context"] & ~U(0xFFFF)
+        self.mark = self.found["context"]
 
     @staticmethod
     def _again(doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -93,7 +94,7 @@ class _Text:
             ok = a <= b
             key = mix(prefix.of(high[ok], low[ok] + self.length) + U(q))
             mark = mix(prefix.of(a[ok], b[ok] + self.length) ^ mix((at[ok] - a[ok]).astype(U)))
-            rows.append((doc[ok], a[ok], b[ok], key, mark & ~U(0xFFFF)))
+            rows.append((doc[ok], a[ok], b[ok], key, mark))
         doc, a, b, key, mark = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.lexsort((a, doc))
         out = dict(zip(("doc", "first", "last", "key", "mark"), (x[order] for x in (doc, a, b, key, mark)), strict=True))
@@ -111,7 +112,7 @@ def _parts(rows: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[t
 def _first_round(length: int, gram: int) -> fp.Scan:
     def scan(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for rows, _, text in _parts(iter([part]), length, gram):
-            yield text.found["anchor"], text.found["context"], _ids(rows)[text.found["doc"]]
+            yield mix(text.found["anchor"]), text.found["context"], _ids(rows)[text.found["doc"]]  # anchors are least hashes, so not even
 
     return scan
 
@@ -143,9 +144,11 @@ def _third_round(length: int, gram: int):
             order = np.lexsort((start, doc, right, left))
             left, right, doc, start = (x[order] for x in (left, right, doc, start))
             first = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))[: len(left)]
-            # all but the first of these are repeats already; as such they need not meet
-            right = np.where(first, right, mix(right ^ doc.view(U) * U(0x9E3779B97F4A7C15) ^ start.view(U)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (left.view(np.int64), right.view(np.int64), doc, start, ~first)], names=["left", "right", "doc", "start", "known"])
+            head = np.flatnonzero(first)[np.cumsum(first) - 1] if len(first) else np.empty(0, np.int64)
+            # all later ones are repeats already; as such they need not meet.  A repeated row has no later ones.
+            known = (doc != doc[head]) | (start != start[head])
+            right = np.where(known, mix(right ^ doc.view(U) * U(0x9E3779B97F4A7C15) ^ start.view(U)), right)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (left.view(np.int64), right.view(np.int64), doc, start, known)], names=["left", "right", "doc", "start", "known"])
 
     return run
 
@@ -182,16 +185,18 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts are shuffled once, and all three joins read that shuffle."""
     small_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
-    source = id_and_text(docs, id_col, text_col)
-    by_id = source.withColumn("key", F.coalesce("doc_id", F.lit(fp.NO_ID))).repartition(n, "key")
+    source = id_and_text(docs, id_col, text_col).withColumn("key", fp.document_key())
+    size = source.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    buckets = max(n, size // (30 * fp.PER_BUCKET))  # a fingerprint stands for some 30 bytes
+    by_id = source.repartition(n, "key")
 
     def with_text(marks: DataFrame, how: str) -> DataFrame:
         return by_id.join(marks.hint("shuffle_hash"), F.col("key") == F.col("doc"), how)
 
-    one = fp.by_document(fp.merge(fp.blocks(source, _first_round(length, gram), n)))
-    some = with_text(one.filter(F.size("open") > 0).select("doc", "open"), "inner").select("doc_id", "text", "open")
-    two = fp.by_document(fp.merge(fp.blocks(some, _second_round(length, gram), n))).select("doc", F.col("covered").alias("covered2"), F.col("open").alias("open2"))
-    still = with_text(one.join(two, "doc").filter(F.size("open2") > 0).select("doc", "open", "open2"), "inner").select("doc_id", "text", "open", "open2")
+    one = fp.by_document(fp.merge(fp.blocks(source, _first_round(length, gram), buckets)))
+    some = with_text(one.filter(F.size("open") > 0).select("doc", "open"), "inner").select("key", "text", "open")
+    two = fp.by_document(fp.merge(fp.blocks(some, _second_round(length, gram), buckets))).select("doc", F.col("covered").alias("covered2"), F.col("open").alias("open2"))
+    still = with_text(one.join(two, "doc").filter(F.size("open2") > 0).select("doc", "open", "open2"), "inner").select("key", "text", "open", "open2")
     positions = still.mapInArrow(_third_round(length, gram), "left long, right long, doc long, start long, known boolean")
     first = F.min(F.struct("doc", "start")).over(Window.partitionBy("left", "right"))
     late = positions.withColumn("first", first).filter(F.col("known") | (F.struct("doc", "start") > F.col("first")))

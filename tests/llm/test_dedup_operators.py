@@ -35,16 +35,23 @@ def corpus(seed, n=60):
     return rows
 
 
-def plain_windows(rows, n=13):
+def order_of(spark, rows):
+    """What orders each row: its id, for a null id a number from its text."""
+    keyed = {r.text: r.key for r in documents(spark, [(None, t) for _, t in rows]).select("text", fingerprints.document_key().alias("key")).collect()}
+    return [keyed[t] if i is None else i for i, t in rows]
+
+
+def plain_windows(rows, order=None, n=13):
+    order = order or [float("inf") if i is None else i for i, _ in rows]
     split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
     first = {}
-    for (i, _), w in zip(rows, split, strict=True):
+    for i, w in zip(order, split, strict=True):
         for at in range(len(w) - n + 1):
             k = tuple(w[at : at + n])
-            first[k] = min(first.get(k, float("inf")), float("inf") if i is None else i)
+            first[k] = min(first.get(k, float("inf")), i)
     out = []
-    for (i, _), w in zip(rows, split, strict=True):
-        gone = {p for at in range(len(w) - n + 1) if first[tuple(w[at : at + n])] < (float("inf") if i is None else i) for p in range(at, at + n)}
+    for (i, _), key, w in zip(rows, order, split, strict=True):
+        gone = {p for at in range(len(w) - n + 1) if first[tuple(w[at : at + n])] < key for p in range(at, at + n)}
         out.append((i or -1, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()))
     return sorted(out)
 
@@ -61,19 +68,30 @@ def test_index_runs_are_merged_and_compacted(spark):
     rows = [r for r in corpus(4) if r[0] is not None]
     rows.sort()
     place = scratch(spark, "index")
-    index = substring_index.FingerprintIndex(spark, place, buckets=3, fanout=3)
+    index = substring_index.FingerprintIndex(spark, place, buckets=3, fanout=3, per_bucket=100)
     found, counts = None, []
     for part in (rows[:20], rows[20:40], rows[40:60], rows[60:]):
-        index = substring_index.FingerprintIndex(spark, place, fanout=3)  # read again from its folder
-        more = index.add(documents(spark, part).select("doc_id", "text"))
+        index = substring_index.FingerprintIndex(spark, place, index.buckets, fanout=3, per_bucket=100)  # read again from its folder
+        spark.createDataFrame([(0, b"broken")], "bucket int, block binary").write.parquet(f"{place}/run-9{len(counts)}")  # of a driver that was lost
+        more = index.add(documents(spark, part).selectExpr("doc_id AS key", "text"))
         found = more if found is None else found.unionByName(more)
         counts.append(len(index.runs))
-    assert counts == [1, 2, 1, 2] and index.buckets in (3, 4)
+    assert counts == [1, 2, 1, 2] and index.buckets > 3 and index._names("run-") == [n for n, _, _ in index.runs]
     source = documents(spark, rows).selectExpr("doc_id", "text", "doc_id AS key")
     got = substring_index.digest(substring_index.strip_repeats(source, found)).collect()
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_windows(rows)
 
 
+@pytest.mark.parametrize("all_null", [False, True])
+def test_rows_with_null_ids_are_documents_of_their_own(spark, all_null):
+    rows = [(None if all_null or n % 4 else i, t) for n, (i, t) in enumerate(corpus(6))]
+    order = order_of(spark, rows)
+    got = substring_index.digest(substring_index.remove_repeated_windows(documents(spark, rows))).collect()
+    assert sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_windows(rows, order)
+    got = suffix_dedup.digest(suffix_dedup.remove_repeated_bytes(documents(spark, rows))).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_bytes(rows, order)
+
+
 def test_dealt_out_keys_change_nothing(spark, monkeypatch):
     rows = corpus(5)
     monkeypatch.setattr(fingerprints, "HOT", 1)
@@ -82,8 +100,9 @@ def test_dealt_out_keys_change_nothing(spark, monkeypatch):
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_windows(rows)
 
 
-def plain_bytes(rows, n=100):
-    data = [((t or "").encode(), float("inf") if i is None else i, i) for i, t in rows]
+def plain_bytes(rows, order=None, n=100):
+    order = order or [float("inf") if i is None else i for i, _ in rows]
+    data = [((t or "").encode(), key, i) for (i, t), key in zip(rows, order, strict=True)]
     first = {}
     for d, key, _ in data:
         for at in range(len(d) - n + 1):

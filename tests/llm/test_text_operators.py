@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -333,6 +334,100 @@ def test_seeds_equal_plain_patterns(spark):
         assert set(want[r.doc_id]) <= set(r.spans.split(",")) | {""}
 
 
+def plain_instances(text):
+    """Start, value and contexts of every token with a digit or an at sign."""
+    found = [m for m in re.finditer(r"[^\s\"'=<>,;]+", text or "") if re.search("[0-9@]", m[0])]
+    out, ends = [], [0, *(m.end() for m in found)]
+    for n, m in enumerate(found):
+        inner = re.sub(r"^[^A-Za-z0-9+]+", "", m[0])
+        value = re.sub(r"[^A-Za-z0-9)]+$", "", inner)
+        word = r"[^\W\d_]+|[=:#]"
+        left = ["<id>" if n else "<start>", *re.findall(word, text[ends[n] : m.start()][-80:].lower())]
+        after = text[m.end() : found[n + 1].start() if n + 1 < len(found) else len(text)]
+        right = re.findall(word, after[:80].lower())[:1] or ["<id>" if n + 1 < len(found) else "<end>"]
+        two = [left[-2]] if len(left) > 1 else []
+        out.append((m.start() + len(m[0]) - len(inner), value, {f"{left[-1]} _", " ".join([*two, left[-1], "_"]), f"{left[-1]} _ {right[0]}"}))
+    return out
+
+
+def plain_kind(value):
+    kinds = [k for k, p in PLAIN if re.fullmatch(p.replace(r"\x20-", "-"), value)]
+    digits = re.sub("[^0-9]", "", value)
+    if "email" in kinds:
+        return "email"
+    if "ip" in kinds and all(int(x) <= 255 for x in value.split(".")):
+        return "ip"
+    if "card" in kinds and 13 <= len(digits) <= 19 and luhn(digits):
+        return "card"
+    if re.match(r"\+[0-9]", value):
+        return "phone"
+    return "secret" if re.fullmatch("[0-9a-f]{32,}", value) and re.search("[a-f]", value) else None
+
+
+def plain_discovery(rows, support=5, confidence=0.8, rounds=3):
+    """All spans of each row, by the same loop over plain sets."""
+    edges = {(p, v) for _, t in rows for _, v, ps in plain_instances(t) if v for p in ps}
+    known = {v: plain_kind(v) for _, v in edges}
+    for n in range(rounds):
+        good = {}
+        for p in {p for p, _ in edges}:
+            kinds = Counter(known[v] for q, v in edges if q == p)
+            size = sum(kinds.values())
+            best = max(((c, k) for k, c in kinds.items() if k), default=(0, ""))
+            if best[0] >= support and best[0] >= confidence * size:
+                good[p] = (best[0] / size, best[1])
+        if n == rounds - 1:
+            break
+        told = {}
+        for p, v in edges:
+            if known[v] is None and p in good:
+                told[v] = max(told.get(v, (0, "")), good[p])
+        known |= {v: k for v, (_, k) in told.items()}
+    out = []
+    order = [k for k, _ in PLAIN] + ["secret"]
+    for _, t in rows:
+        seeds = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in plain_spans(t))]
+        more = set()
+        for start, value, ps in plain_instances(t):
+            if plain_kind(value) == "secret":
+                more.add(("secret", start, start + len(value)))
+            if value and (some := [good[p] for p in ps if p in good]):
+                more.add((max(some)[1], start, start + len(value)))
+        more = {x for x in more if not any(a < x[2] and b > x[1] for _, a, b in seeds)}
+        out.append(",".join(f"{k}:{a}:{b}" for k, a, b in sorted({*seeds, *more}, key=lambda x: (order.index(x[0]), x[1]))))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_discovery_equals_the_loop_over_sets(spark, seed):
+    rng = random.Random(seed)
+    words = ["call", "mail:", "id", "the", "from", "key =", "#", "é,"]
+    tokens = [lambda: f"u{rng.randrange(99)}@mail.example", lambda: f"{rng.randrange(256)}.1.2.{rng.randrange(256)}", lambda: f"({rng.randrange(30)})", lambda: f"x{rng.randrange(50)}!", lambda: f'"{rng.randrange(16**32):032x}"', lambda: f"{rng.randrange(16**20):020X}"]
+    fixed = {"mail:": [0, 0, 0, 0, 3], "key =": [4, 4, 4, 4, 5], "from": [1, 1, 1, 1, 1, 2], "#": [3, 5]}
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(0, 8)):
+            w = rng.choice(words)
+            parts += [w, tokens[rng.choice(fixed.get(w, range(6)))]()]
+        rows.append((i, " ".join(parts)))
+    rows += [(i, t) for i, t in odd_rows() if i not in (3, None)]
+    rows = [(n, t) for n, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(documents(spark, rows))).collect()}
+    want = plain_discovery(rows)
+    assert [got[i] for i, _ in rows] == want
+    assert sum(x.count(":") for x in want) > sum(len(plain_spans(t)) * 2 for _, t in rows)
+
+
+def test_secrets_of_the_table_are_all_found(spark):
+    """Precision and recall beyond the four patterns: what follows ``token =`` and nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    added = [(r.doc_id, int(a), int(b)) for r in pii.digest(pii.find_personal_data(docs)).collect() for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "secret"]
+    want = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]+)"', t or "")}
+    assert set(added) == want and any(texts[i][a:b].isupper() for i, a, b in added)
+
+
 def test_contexts_of_seeds_find_unseen_identifiers(spark):
     rows = [(i, f"please write to mailto: u{i}@mail.example today") for i in range(20)] + [(99, "please write to mailto: hidden(at)mail9 today"), (98, "it is 2020 and rule 9 holds")]
     got = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(documents(spark, rows))).collect()}
