@@ -33,7 +33,7 @@ NO_ID = np.iinfo(np.int64).max
 _SIGN_MARK = U(0xFFFFFFFFFFFFFFFF)
 
 
-def document_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+def document_key(id_col: str | Column = "doc_id", text_col: str | Column = "text") -> Column:
     """What orders documents and tells them apart: the id; for a null id a number
     above 2**62 from the text, so that such rows are later than all others, do not
     meet in one place, and count as one document only if their texts are equal."""

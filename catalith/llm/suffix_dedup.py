@@ -41,6 +41,8 @@ from catalith.llm.rolling import Prefix, anchors, batches, cover, mix, spread
 
 LENGTH, GRAM, PARTS = 100, 36, 4
 U = np.uint64
+#: Ranks of the first two rounds keep their upper 48 bits; a rank and the one before it must agree.
+_KEPT = U(0xFFFFFFFFFFFF0000)
 _UNITS = np.random.default_rng(20_24).integers(1 << 62, 1 << 63, 256, dtype=U)
 
 
@@ -60,7 +62,7 @@ class _Text:
         self.bounds = np.cumsum([0, *map(len, texts)])
         self.units = _UNITS[np.frombuffer(b"".join(texts), np.uint8)]
         self.found = anchors(self.units, self.bounds, length, gram)
-        self.mark = self.found["context"]
+        self.mark = self.found["context"] & _KEPT
 
     @staticmethod
     def _again(doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
@@ -94,7 +96,7 @@ class _Text:
             ok = a <= b
             key = mix(prefix.of(high[ok], low[ok] + self.length) + U(q))
             mark = mix(prefix.of(a[ok], b[ok] + self.length) ^ mix((at[ok] - a[ok]).astype(U)))
-            rows.append((doc[ok], a[ok], b[ok], key, mark))
+            rows.append((doc[ok], a[ok], b[ok], key & _KEPT, mark & _KEPT))
         doc, a, b, key, mark = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.lexsort((a, doc))
         out = dict(zip(("doc", "first", "last", "key", "mark"), (x[order] for x in (doc, a, b, key, mark)), strict=True))
@@ -112,7 +114,7 @@ def _parts(rows: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[t
 def _first_round(length: int, gram: int) -> fp.Scan:
     def scan(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for rows, _, text in _parts(iter([part]), length, gram):
-            yield mix(text.found["anchor"]), text.found["context"], _ids(rows)[text.found["doc"]]  # anchors are least hashes, so not even
+            yield mix(text.found["anchor"]) & _KEPT, text.mark, _ids(rows)[text.found["doc"]]  # anchors are least hashes, so not even
 
     return scan
 
