@@ -208,8 +208,9 @@ def _platform_code(d: Dialect, low: str, norm: str, brand: str, line: str) -> st
     return d.case((f"{line} = ''", "''"), (f"{brand} = 'dell'", dell), (f"{brand} = 'hp'", hp), (f"{brand} = 'lenovo'", lenovo))
 
 
-def laptop_layers(d: Dialect, text: str, brand: str) -> list[Layer]:
-    """Columns ``l_*`` of laptop attributes."""
+def laptop_layers(d: Dialect, text: str, brand: str, norm: str = "", own: str = "") -> list[Layer]:
+    """Columns ``l_*`` of laptop attributes; ``norm`` and ``own`` name the canonical
+    text and brand where they are known already."""
     gb = d.each(d.ext_all("l_low", r"(\d+)\s*gb"), d.integer)
     tb = d.each(d.ext_all("l_low", r"(\d+)\s*tb\b"), lambda e: f"{d.integer(e)} * 1024")
     own_ram = f"coalesce({d.integer(d.rep('l_ram', 'gb', ''))}, 0)"
@@ -222,7 +223,7 @@ def laptop_layers(d: Dialect, text: str, brand: str) -> list[Layer]:
     revised = f"l_platform <> '' AND contains(concat(' ', l_norm, ' '), concat(' ', l_platform, ' gen', {d.rep('l_generation', 'th gen', '')}, ' ')) AND {d.contains('l_generation', 'th gen')}"
     both = d.sort(d.distinct(d.chain(d.keep("l_gb", lambda e: f"{e} >= 128 AND {e} <> {own_ram}"), "l_tb")))
     return [
-        {"l_low": f"lower({text})", "l_norm": normalize_text(d, text), "l_brand": d.either(normalize_brand(d, brand), normalize_text(d, brand)), "l_ram": ram(d, text)},
+        {"l_low": f"lower({text})", "l_norm": norm or normalize_text(d, text), "l_brand": own or d.either(normalize_brand(d, brand), normalize_text(d, brand)), "l_ram": ram(d, text)},
         {"l_gb": gb, "l_tb": tb, "l_line": _laptop_line(d, "l_low", "l_brand"), "l_processor": processor_tier(d, text), "l_generation": generation, "l_inches": d.either(d.ext("l_low", r"\b(\d{2}(?:\.\d)?)\s*(?:inch)\b"), d.ext("l_norm", r"\b(\d{2}(?:\.\d)?)\s+inch\b")), "l_chip": f"CASE WHEN l_brand = 'apple' OR {d.contains('l_low', 'macbook')} THEN {chip} ELSE '' END", "l_year": year(d, text), "l_code": _laptop_code(d, "l_low", "l_brand")},
         {"l_storage": size, "l_storages": both, "l_family": _laptop_family(d, "l_norm", "l_brand", "l_line"), "l_platform": _platform_code(d, "l_low", "l_norm", "l_brand", "l_line")},
         {"l_generation2": f"CASE WHEN {revised} THEN {from_cpu} ELSE l_generation END"},
@@ -342,7 +343,7 @@ def extract(d: Dialect, text: str, brand: str) -> list[Layer]:
         {"of_norm": category(d, "norm"), "sizes": storage(d, "norm")},
         {"kind": d.case(("of_norm = 'watch'", "'watch'"), (is_laptop(d, "said"), "'laptop'"), ("of_norm = 'tablet'", "'tablet'"), other="'phone'")},
         *watch_layers(d, "norm"),
-        *laptop_layers(d, "said", brand),
+        *laptop_layers(d, "said", brand, "norm", "own"),
         *tablet_layers(d, "norm", "raw"),
         *phone_layers(d, "norm", "own"),
         fields,

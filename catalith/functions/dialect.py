@@ -79,6 +79,10 @@ class Spark(Dialect):
         """Values of a group in order, each once, where it stands first."""
         return f"array_distinct(transform(array_sort(collect_list(struct({order} AS o, {value} AS v)) FILTER (WHERE {where})), z -> z.v))"
 
+    def flat(self, lists: str, order: str) -> str:
+        """The lists of a group in order, as one."""
+        return f"flatten(transform(array_sort(collect_list(struct({order} AS o, {lists} AS v))), z -> z.v))"
+
     def explode(self, items: str, name: str) -> str:
         return f"LATERAL VIEW explode({items}) lv AS {name}"
 
@@ -193,6 +197,9 @@ class Duck(Dialect):
     def ordered(self, value: str, order: str, where: str = "true") -> str:
         return f"coalesce({self.distinct(f'list({value} ORDER BY {order}) FILTER (WHERE {where})')}, [])"
 
+    def flat(self, lists: str, order: str) -> str:
+        return f"flatten(list({lists} ORDER BY {order}))"
+
     def explode(self, items: str, name: str) -> str:
         return f", unnest({items}) AS lv({name})"
 

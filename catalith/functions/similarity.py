@@ -37,3 +37,8 @@ def token_sort_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     for text in {*a.dropna(), *b.dropna()}:
         known[text] = " ".join(sorted(text.split()))
     return pd.Series([ratio(known.get(x, ""), known.get(y, "")) for x, y in zip(a, b, strict=True)])
+
+
+@F.pandas_udf(T.DoubleType())
+def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from catalith.functions import attributes as a
 from catalith.functions import tables as t
 from catalith.functions import text as x
-from catalith.functions.dialect import Dialect
-from catalith.plans.layers import layered_sql
+from catalith.functions.dialect import SPARK, Dialect
+from catalith.plans.layers import once_each
 from catalith.plans.query import Query, Table, shared
 from catalith.sources.fixtures import CATALOG
 
@@ -35,14 +40,17 @@ def marked(d: Dialect, table: Table) -> str:
 @shared("catalog_clean")
 def clean(d: Dialect, table: Table) -> str:
     """Rows that stay, with their canonical name and brand."""
-    said = f"SELECT *, {x.match_text(d, 'nl_brand', 'nl_name')} AS said0 FROM {d.fence(marked(d, table))} AS m WHERE drop_reason IS NULL AND whole1 >= 0"
-    return f"SELECT nl_pos, uae_assetid, nl_category, nl_brand, nl_name, {x.normalize_text(d, 'said0')} AS normalized_name FROM ({said}) AS n"
+    kept = f"SELECT nl_pos, uae_assetid, nl_category, nl_brand, nl_name FROM {d.fence(marked(d, table))} AS m WHERE drop_reason IS NULL AND whole1 >= 0"
+    layers = [{"said0": x.match_text(d, "nl_brand", "nl_name")}, {"normalized_name": x.normalize_text(d, "said0")}]
+    return once_each(kept, ["nl_brand", "nl_name"], layers, ["normalized_name"])
 
 
 @shared("catalog_features")
 def features(d: Dialect, table: Table) -> str:
     """Clean rows with attributes, storage key and signature."""
-    return layered_sql(clean(d, table), [*a.extract(d, "normalized_name", "nl_brand"), {"storage_key": a.storage_key(d), "signature": a.signature(d), "whole2": d.whole}])
+    layers = [*a.extract(d, "normalized_name", "nl_brand"), {"storage_key": a.storage_key(d), "signature": a.signature(d)}]
+    found = once_each(f"SELECT * FROM {d.fence(clean(d, table))} AS c", ["normalized_name", "nl_brand"], layers, [*a.FIELDS, "storage_key", "signature"])
+    return f"SELECT *, {d.whole} AS whole2 FROM ({found}) AS f"
 
 
 def lookup(d: Dialect, table: Table) -> str:
@@ -88,6 +96,15 @@ def custom_config(d: Dialect, source: str) -> str:
     return f"WITH w AS ({said}), o AS (SELECT DISTINCT low FROM w WHERE NOT custom), b AS ({bases}), g AS ({grams}), s AS ({same}) SELECT w.nl_pos, w.nl_name FROM w LEFT JOIN s ON w.nl_pos = s.gone WHERE s.gone IS NULL"
 
 
+def specific(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of a list without custom configurations that a more specific name covers."""
+    view, spark = f"names_{uuid.uuid4().hex}", rows.sparkSession
+    rows.select(F.col(f"`{name}`").cast("string").alias("nl_name")).distinct().selectExpr("nl_name AS nl_pos", "nl_name").createOrReplaceTempView(view)
+    stay = spark.sql(custom_config(SPARK, f"SELECT nl_pos, nl_name FROM {view}")).select(F.col("nl_name").alias("__stay"))
+    spark.catalog.dropTempView(view)
+    return rows.join(stay, rows[f"`{name}`"].cast("string") == stay["__stay"], "left_semi")
+
+
 def _custom_config(d: Dialect, table: Table) -> str:
     """Some names of the fixture are said as custom configurations of their first two words."""
     head = d.ext("nl_name", r"^(\S+ \S+)")

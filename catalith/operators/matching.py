@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from catalith.functions import attributes as a
+from catalith.functions import families
+from catalith.functions import tables as t
 from catalith.functions import text as x
 from catalith.functions.dialect import Dialect
 from catalith.operators import catalog
-from catalith.plans.layers import Layer, layered_sql
+from catalith.plans.layers import Layer, layered_sql, once_each
 from catalith.plans.query import Query, Table, shared
 from catalith.sources.fixtures import INPUT, INPUT_LAYER
 
@@ -15,25 +19,47 @@ from catalith.sources.fixtures import INPUT, INPUT_LAYER
 def inputs(d: Dialect, table: Table) -> str:
     """Input rows with canonical brand and the text that is looked for."""
     raw = f"SELECT {', '.join(f'{v} AS {k}' for k, v in INPUT.items())} FROM {table('orders')}"
+    listed = layered_sql(raw, [INPUT_LAYER])
     own = {"own_brand": d.either(x.normalize_brand(d, "in_brand"), x.infer_brand(d, "in_name")), "plain": x.strip_colours(d, "in_name")}
-    return layered_sql(raw, [INPUT_LAYER, own, {"said1": x.match_text(d, "own_brand", "plain")}, {"query": x.normalize_text(d, "said1"), "whole4": d.whole}])
+    found = once_each(listed, ["in_brand", "in_name"], [own, {"said1": x.match_text(d, "own_brand", "plain")}, {"query": x.normalize_text(d, "said1")}], ["own_brand", "plain", "query"])
+    return f"SELECT *, {d.whole} AS whole4 FROM ({found}) AS i"
+
+
+#: What is known of each distinct text.
+TEXT_FIELDS = [*a.FIELDS, "storage_key", "signature", "asks_laptop"]
+
+
+@shared("input_texts")
+def texts(d: Dialect, table: Table) -> str:
+    """Each distinct text of the input list with its attributes; lists repeat their texts many times."""
+    layers = [*a.extract(d, "query", "own_brand"), {"storage_key": a.storage_key(d), "signature": a.signature(d), "asks_laptop": a.is_laptop(d, "query")}]
+    each = layered_sql(f"SELECT DISTINCT query, own_brand FROM {d.fence(inputs(d, table))} AS i WHERE whole4 >= 0", layers)
+    return f"SELECT query, own_brand, {', '.join(TEXT_FIELDS)}, {d.whole} AS whole6 FROM ({each}) AS t"
 
 
 @shared("input_features")
 def input_features(d: Dialect, table: Table) -> str:
-    layers = [*a.extract(d, "query", "own_brand"), {"storage_key": a.storage_key(d), "signature": a.signature(d), "whole5": d.whole}]
     kept = f"SELECT row_id, source_sheet, in_brand, in_name, in_category, own_brand, query FROM {d.fence(inputs(d, table))} AS i WHERE whole4 >= 0"
-    return layered_sql(kept, layers)
+    known = f"SELECT query AS t_query, own_brand AS t_brand, {', '.join(TEXT_FIELDS)} FROM {d.fence(texts(d, table))} AS t WHERE whole6 >= 0"
+    return f"SELECT i.*, {', '.join(f't.{n}' for n in TEXT_FIELDS)}, {d.whole} AS whole5 FROM ({kept}) AS i JOIN ({known}) AS t ON i.query = t.t_query AND i.own_brand = t.t_brand"
 
 
-def _index_rows(d: Dialect, table: Table) -> str:
-    """The attribute index, a row for each of its ids, with the first name's category."""
-    index = f"SELECT *, {a.category(d, 'nl_name')} AS nl_category FROM ({catalog.attribute_index(d, table)}) AS i"
-    return f"SELECT i.brand, i.product_line, i.model, i.storage_key, i.nl_name, i.nl_category, i.first_pos, asset_id FROM ({index}) AS i {d.explode('i.asset_ids', 'asset_id')}"
+def index_rows(d: Dialect, table: Table) -> str:
+    """The attribute index with the first name's category."""
+    return f"SELECT *, {a.category(d, 'nl_name')} AS nl_category FROM ({catalog.attribute_index(d, table)}) AS i"
 
 
-def attribute_matches(d: Dialect, table: Table) -> str:
-    """Equal brand, line and model; then the best of the ways in which storage keys may agree."""
+def _rows(d: Dialect, table: Table, found: str, columns: str) -> str:
+    """What was found for a text, for each of its rows."""
+    return f"SELECT r.row_id, {columns} FROM (SELECT row_id, query, own_brand FROM {d.fence(inputs(d, table))} AS i WHERE whole4 >= 0) AS r JOIN ({found}) AS m ON r.query = m.query AND r.own_brand = m.own_brand"
+
+
+_FOUND = "mapped_ids, n_ids, matched_on, method, match_score"
+
+
+def text_attribute_matches(d: Dialect, table: Table) -> str:
+    """Equal brand, line and model; then the best of the ways in which storage keys
+    may agree.  Ids stay in their lists until the way is chosen."""
     plain_watch = "q.product_line = 'watch' AND q.watch_mm <> '' AND q.material = ''"
     tier = d.case(
         ("i.storage_key = q.storage_key", "1"),
@@ -44,23 +70,48 @@ def attribute_matches(d: Dialect, table: Table) -> str:
         ("q.storage = '' AND q.product_line <> 'watch'", "6"),
         other="NULL",
     )
-    met = f"SELECT q.row_id, q.category, i.asset_id, i.nl_name, i.nl_category, i.first_pos, i.storage_key AS k, {tier} AS tier FROM {d.fence(input_features(d, table))} AS q JOIN ({_index_rows(d, table)}) AS i ON q.brand = i.brand AND q.product_line = i.product_line AND q.model = i.model WHERE q.model <> '' AND q.whole5 >= 0"
-    best = f"SELECT *, min(tier) OVER (PARTITION BY row_id) AS best FROM ({met}) AS m WHERE tier IS NOT NULL"
-    grouped = f"SELECT row_id, min(tier) AS tier, {d.ordered('asset_id', 'first_pos * 1000000 + ' + d.integer(d.rep('asset_id', '[^0-9]', '')))} AS ids, {d.first_by('nl_name', 'first_pos')} AS matched_on, {d.first_by('nl_category', 'first_pos')} AS nl_category, min(category) AS category, count(DISTINCT k) AS n_keys FROM ({best}) AS b WHERE tier = best GROUP BY row_id"
+    met = f"SELECT q.query, q.own_brand, q.category, i.asset_ids, i.nl_name, i.nl_category, i.first_pos, i.storage_key AS k, {tier} AS tier FROM {d.fence(texts(d, table))} AS q JOIN ({index_rows(d, table)}) AS i ON q.brand = i.brand AND q.product_line = i.product_line AND q.model = i.model WHERE q.model <> '' AND q.whole6 >= 0"
+    best = f"SELECT *, min(tier) OVER (PARTITION BY query, own_brand) AS best FROM ({met}) AS m WHERE tier IS NOT NULL"
+    grouped = f"SELECT query, own_brand, min(tier) AS tier, {d.distinct(d.flat('asset_ids', 'first_pos'))} AS ids, {d.first_by('nl_name', 'first_pos')} AS matched_on, {d.first_by('nl_category', 'first_pos')} AS nl_category, min(category) AS category, count(*) AS n_keys FROM ({best}) AS b WHERE tier = best GROUP BY query, own_brand"
     method = d.case(("tier IN (2, 3)", "'attribute_watch_fallback'"), ("tier = 6 AND n_keys = 1", "'attribute_tier2_single_variant'"), ("tier = 6", "'attribute_tier2_multi_variant'"), (f"{d.size('ids')} > 1", "'attribute_auto_selected'"), other="'attribute'")
     score = "CASE WHEN tier = 1 THEN 100.0 WHEN tier IN (2, 3, 4) OR (tier = 6 AND n_keys = 1) THEN 95.0 ELSE 90.0 END"
-    return f"SELECT row_id, {d.join('ids', ', ')} AS mapped_ids, CAST({d.size('ids')} AS BIGINT) AS n_ids, matched_on, {method} AS method, CAST({score} AS DOUBLE) AS match_score FROM ({grouped}) AS g WHERE category = 'other' OR category = nl_category"
+    return f"SELECT query, own_brand, {d.join('ids', ', ')} AS mapped_ids, CAST({d.size('ids')} AS BIGINT) AS n_ids, matched_on, {method} AS method, CAST({score} AS DOUBLE) AS match_score FROM ({grouped}) AS g WHERE category = 'other' OR category = nl_category"
 
 
-def signature_matches(d: Dialect, table: Table) -> str:
+def attribute_matches(d: Dialect, table: Table) -> str:
+    return _rows(d, table, text_attribute_matches(d, table), _FOUND)
+
+
+def text_signature_matches(d: Dialect, table: Table) -> str:
     index = f"SELECT *, {a.category(d, 'nl_name')} AS nl_category FROM ({catalog.signature_index(d, table)}) AS i"
-    return f"SELECT q.row_id, {d.join('i.asset_ids', ', ')} AS mapped_ids, CAST({d.size('i.asset_ids')} AS BIGINT) AS n_ids, i.nl_name AS matched_on, 'signature' AS method, CAST(100 AS DOUBLE) AS match_score FROM {d.fence(input_features(d, table))} AS q JOIN ({index}) AS i ON q.signature = i.signature WHERE q.signature <> '' AND q.whole5 >= 0 AND (q.category = 'other' OR q.category = i.nl_category)"
+    return f"SELECT q.query, q.own_brand, {d.join('i.asset_ids', ', ')} AS mapped_ids, CAST({d.size('i.asset_ids')} AS BIGINT) AS n_ids, i.nl_name AS matched_on, 'signature' AS method, CAST(100 AS DOUBLE) AS match_score FROM {d.fence(texts(d, table))} AS q JOIN ({index}) AS i ON q.signature = i.signature WHERE q.signature <> '' AND q.whole6 >= 0 AND (q.category = 'other' OR q.category = i.nl_category)"
+
+
+@shared("exact_matches")
+def text_exact_matches(d: Dialect, table: Table) -> str:
+    """By attributes, else by signature."""
+    both = f"SELECT *, 0 AS turn FROM ({text_attribute_matches(d, table)}) AS a UNION ALL SELECT *, 1 AS turn FROM ({text_signature_matches(d, table)}) AS s"
+    first = f"SELECT *, min(turn) OVER (PARTITION BY query, own_brand) AS best FROM ({both}) AS b"
+    return f"SELECT query, own_brand, {_FOUND} FROM ({first}) AS f WHERE turn = best"
+
+
+def signature_matches(d: Dialect, table: Table) -> str:
+    return _rows(d, table, text_signature_matches(d, table), _FOUND)
+
+
+def paired(d: Dialect, table: Table, left: list[str], right: list[str]) -> str:
+    """Each input row with one of the catalog rows of its brand and category; over
+    all rows, every catalog row of a bucket is met."""
+    asked = f"SELECT row_id, brand AS own, category AS kind, {', '.join(left)} FROM {d.fence(input_features(d, table))} AS f WHERE whole5 >= 0"
+    place = "row_number() OVER (PARTITION BY brand, category ORDER BY nl_pos) - 1"
+    known = f"SELECT nl_pos, brand AS c_own, category AS c_kind, {', '.join(right)}, {place} AS place FROM {d.fence(catalog.features(d, table))} AS f WHERE whole2 >= 0"
+    sizes = f"SELECT brand AS s_own, category AS s_kind, count(*) AS n FROM {d.fence(catalog.features(d, table))} AS f WHERE whole2 >= 0 GROUP BY brand, category"
+    sized = f"SELECT l.*, row_id % n AS turn FROM ({asked}) AS l JOIN ({sizes}) AS s ON l.own = s.s_own AND l.kind = s.s_kind"
+    return f"SELECT * FROM ({sized}) AS q JOIN ({known}) AS c ON q.own = c.c_own AND q.kind = c.c_kind AND q.turn = c.place"
 
 
 def pairs(d: Dialect, table: Table) -> str:
-    """Each input row with one catalog row, by key."""
-    left = f"SELECT row_id, query AS q_norm FROM {d.fence(inputs(d, table))} AS i WHERE whole4 >= 0"
-    return f"SELECT i.row_id, c.nl_pos, i.q_norm, c.normalized_name AS c_norm FROM ({left}) AS i JOIN {d.fence(catalog.clean(d, table))} AS c ON c.nl_pos = 1 + (i.row_id % 997) % 197"
+    return f"SELECT row_id, nl_pos, q_norm, c_norm FROM ({paired(d, table, ['query AS q_norm'], ['normalized_name AS c_norm'])}) AS p"
 
 
 def _both(name: str, fn) -> Layer:
@@ -120,11 +171,11 @@ def _identity_guard(d: Dialect, table: Table) -> str:
     return f"SELECT row_id, nl_pos, q_identity, c_identity, coalesce({identity_reason()}, '') AS reason FROM ({layered_sql(pairs(d, table), pair_layers(d))}) AS g"
 
 
-def _critical(d: Dialect, table: Table) -> str:
+def critical_ok(d: Dialect) -> str:
     """Whether category, case size, storage and model words let a pair be the same product."""
     common, primary = d.size(d.both("q_tokens", "c_tokens")), d.at("q_tokens", 0)
     has_primary = d.size(d.keep("c_tokens", lambda e: f"{e} = {primary}"))
-    ok = d.case(
+    return d.case(
         ("q_cat <> c_cat AND q_cat <> 'other' AND c_cat <> 'other'", "false"),
         ("q_mm <> '' AND c_mm <> '' AND q_mm <> c_mm", "false"),
         ("q_storage <> '' AND c_storage <> '' AND q_storage <> c_storage", "false"),
@@ -132,7 +183,42 @@ def _critical(d: Dialect, table: Table) -> str:
         (f"{d.size('q_tokens')} > 0", "false"),
         other="true",
     )
-    return f"SELECT row_id, nl_pos, {ok} AS verified FROM ({layered_sql(pairs(d, table), pair_layers(d))}) AS g"
+
+
+def _critical(d: Dialect, table: Table) -> str:
+    return f"SELECT row_id, nl_pos, {critical_ok(d)} AS verified FROM ({layered_sql(pairs(d, table), pair_layers(d))}) AS g"
+
+
+def token_guard(d: Dialect) -> str:
+    """The most that a score may be, by model words and case sizes; the cut-off is 85."""
+    n = {s: d.size(f"{s}_tokens") for s in "qc"}
+    return d.case(
+        ("q_mm <> '' AND c_mm <> '' AND q_mm <> c_mm", "84"),
+        (f"{n['q']} > 0 AND {n['c']} > 0 AND {d.join('q_tokens', ' ')} <> {d.join('c_tokens', ' ')}", "84"),
+        (f"{n['q']} > 0 AND {n['c']} = 0", "84"),
+        (f"{n['q']} = 0 AND {n['c']} > 0", "89"),
+        other="100",
+    )
+
+
+def _guarded(d: Dialect, table: Table) -> str:
+    return f"SELECT row_id, nl_pos, CAST({token_guard(d)} AS BIGINT) AS most FROM ({layered_sql(pairs(d, table), pair_layers(d))}) AS g"
+
+
+def _recovered(d: Dialect, table: Table) -> str:
+    """The name of a row whose own is missing or a link: from another column of
+    names, else from a link; then without colours, with the storage column's text."""
+    raw = f"SELECT {', '.join(f'{v} AS {k}' for k, v in INPUT.items())} FROM {table('orders')}"
+    bad = lambda v: f"(lower(trim(coalesce({v}, ''))) IN ('', 'nan', 'none') OR {x.is_url(d, v)})"
+    layers = [
+        INPUT_LAYER,
+        {"said": "CASE WHEN row_id % 5 = 0 THEN in_url WHEN row_id % 7 = 0 THEN 'nan' ELSE in_name END", "second": "CASE WHEN row_id % 10 = 0 THEN base_name END", "link": "CASE WHEN row_id % 3 = 0 THEN in_url END", "capacity": "CASE WHEN row_id % 4 = 0 THEN '128GB' END"},
+        {"is_bad": bad("said"), "second_bad": bad("second"), "said_path": x.url_path(d, "said"), "link_path": x.url_path(d, "link")},
+        {"said_name": x.url_name(d, "said_path"), "link_name": x.url_name(d, "link_path")},
+        {"found": d.case(("NOT is_bad", "said"), ("NOT second_bad", "trim(second)"), ("link_name <> ''", "link_name"), (f"{x.is_url(d, 'said')}", "said_name"))},
+        {"why": d.case(("found <> ''", "''"), (x.is_url(d, "said"), "'URL_NOT_PARSED'"), other="'EMPTY_PRODUCT_NAME'"), "plain": x.strip_colours(d, "found")},
+    ]
+    return f"SELECT row_id, found, why, trim(concat(plain, ' ', coalesce(capacity, ''))) AS asked FROM ({layered_sql(raw, layers)}) AS r"
 
 
 def _breakdown(d: Dialect, table: Table) -> str:
@@ -152,22 +238,72 @@ def _breakdown(d: Dialect, table: Table) -> str:
     return f"SELECT row_id, nl_pos, {', '.join(flags)}, CAST({score} AS DOUBLE) AS composite FROM ({inner}) AS b"
 
 
-def _variants(kind: str):
-    """Differences of extracted attributes; ``one_sided`` also rejects what only the query has."""
-    fields = {
-        "any": (("material", "material", False), ("model", "model", False), ("watch_mm", "watch_mm", False), ("connectivity", "connectivity", False)),
-        "mobile": (("brand", "mobile_brand", False), ("product_line", "mobile_product_line", False), ("model", "mobile_model", False), ("storage", "mobile_storage", False), ("model_number", "mobile_model_number", False)),
-        "tablet": (("tablet_family", "tablet_family", False), ("generation", "tablet_generation", False), ("year", "tablet_year", False), ("tablet_line", "tablet_line", True), ("model_number", "tablet_model_number", False), ("chip", "tablet_chip", False), ("storage", "tablet_storage", False)),
-        "laptop": (("brand", "laptop_brand", False), *((f, f"laptop_{n}", True) for f, n in (("product_line", "series"), ("processor", "processor"), ("generation", "generation"), ("ram", "ram"), ("storage", "storage"), ("platform_code", "platform_code"), ("laptop_family", "family"), ("model_code", "model_code")))),
+def _differs(field: str, label: str, one_sided: bool = False, value: Callable[[str], str] = str) -> str:
+    q, c = value(f"q_{field}"), value(f"c_{field}")
+    missing = f" WHEN {q} <> '' AND {c} = '' THEN concat('{label}_missing:', {q})" if one_sided else ""
+    return f"CASE WHEN {q} <> '' AND {c} <> '' AND {q} <> {c} THEN concat('{label}:', {q}, '!=', {c}){missing} END"
+
+
+def _worded(label: str, q: str, c: str, when: str = "true") -> str:
+    return f"CASE WHEN {when} AND {q} <> {c} THEN concat('{label}:', {q}, '!=', {c}) END"
+
+
+def variant_layers(d: Dialect) -> list[Layer]:
+    """What the variant checks need beside the attributes ``q_*`` and ``c_*``."""
+    said = lambda s: f"concat({s}_product_line, ' ', {s}_model)"
+    crit = lambda s: d.join(d.sort(d.keep(f"{s}_variant_tokens", lambda e: d.isin(e, t.TABLET_VARIANTS))), ",")
+    out: Layer = {}
+    for s in "qc":
+        out |= {f"{s}_words": d.join(a.variant_tokens(d, said(s)), ","), f"{s}_critical": crit(s), f"{s}_number": families.galaxy_number(d, f"{s}_model"), f"{s}_galaxy": families.galaxy_variant(d, f"{s}_model", said(s)), f"{s}_plain_model": x.normalize_text(d, f"{s}_model"), f"{s}_size": d.either(f"{s}_screen_inches", f"{s}_screen_size")}
+    return [out]
+
+
+def variant_reasons(d: Dialect, kind: str) -> str:
+    """Differences of a pair's attributes: of ``any`` product, or by the stricter rules of one kind."""
+    galaxy, zenfone = d.contains("q_product_line", "galaxy"), d.contains("q_product_line", "zenfone")
+    both_sizes = f"q_size <> '' AND c_size <> '' AND CASE WHEN {d.number('q_size')} IS NULL OR {d.number('c_size')} IS NULL THEN q_size <> c_size ELSE abs({d.number('q_size')} - {d.number('c_size')}) > 0.15 END"
+    generic = " AND ".join(f"NOT {d.isin(f'{s}_model', t.GENERIC_MODELS)}" for s in "qc")
+    items = {
+        "any": [
+            _differs("material", "material"),
+            f"CASE WHEN {generic} THEN {_differs('model', 'model')} END",
+            _worded("variant_tokens", "q_words", "c_words"),
+            _differs("watch_mm", "watch_mm"),
+            _differs("connectivity", "connectivity"),
+        ],
+        "mobile": [
+            _differs("brand", "mobile_brand"),
+            _differs("product_line", "mobile_product_line"),
+            _differs("plain_model", "mobile_model"),
+            _differs("storage", "mobile_storage"),
+            _differs("model_number", "mobile_model_number", value=lambda v: f"lower({v})"),
+            _worded("mobile_variant", "q_words", "c_words"),
+            f"CASE WHEN {galaxy} THEN {_differs('number', 'samsung_s_number')} END",
+            _worded("samsung_variant", "q_galaxy", "c_galaxy", galaxy),
+            f"CASE WHEN {zenfone} AND q_model_number <> '' AND c_model_number = '' THEN 'zenfone_model_number_missing:candidate_has_none' END",
+        ],
+        "tablet": [
+            _differs("tablet_family", "tablet_family"),
+            f"CASE WHEN {both_sizes} THEN concat('tablet_size:', q_size, '!=', c_size) END",
+            _differs("generation", "tablet_generation"),
+            _differs("year", "tablet_year"),
+            _worded("tablet_variant", "q_critical", "c_critical"),
+            f"CASE WHEN q_critical = c_critical THEN {_differs('tablet_line', 'tablet_line', True)} END",
+            _differs("model_number", "tablet_model_number", value=lambda v: f"lower({v})"),
+            _differs("chip", "tablet_chip"),
+            _differs("storage", "tablet_storage"),
+        ],
+        "laptop": [_differs("brand", "laptop_brand"), *(_differs(f, f"laptop_{n}", True) for f, n in (("product_line", "series"), ("processor", "processor"), ("generation", "generation"), ("ram", "ram"), ("storage", "storage"), ("platform_code", "platform_code"), ("laptop_family", "family"), ("model_code", "model_code")))],
     }[kind]
+    return d.keep(d.array(*items), lambda e: f"{e} IS NOT NULL")
 
+
+def _variants(kind: str):
     def build(d: Dialect, table: Table) -> str:
-        names = sorted({f for f, _, _ in fields} | {"category"})
-        left = f"SELECT row_id, {', '.join(f'{n} AS q_{n}' for n in names)} FROM {d.fence(input_features(d, table))} AS f WHERE whole5 >= 0"
-        right = f"SELECT nl_pos, {', '.join(f'{n} AS c_{n}' for n in names)} FROM {d.fence(catalog.features(d, table))} AS f WHERE whole2 >= 0"
-        items = [f"CASE WHEN q_{f} <> '' AND c_{f} <> '' AND q_{f} <> c_{f} THEN concat('{n}:', q_{f}, '!=', c_{f})" + (f" WHEN q_{f} <> '' AND c_{f} = '' THEN concat('{n}_missing:', q_{f})" if one else "") + " END" for f, n, one in fields]
+        met = paired(d, table, [f"{n} AS q_{n}" for n in a.FIELDS], [f"{n} AS c_{n}" for n in a.FIELDS])
         where = "" if kind == "any" else f" WHERE q_category = '{kind}' AND c_category = '{kind}'"
-        return f"SELECT row_id, nl_pos, {d.join(d.keep(d.array(*items), lambda e: f'{e} IS NOT NULL'), '; ')} AS mismatches FROM ({left}) AS l JOIN ({right}) AS r ON r.nl_pos = 1 + (l.row_id % 997) % 197{where}"
+        inner = layered_sql(f"SELECT * FROM ({met}) AS p{where}", variant_layers(d))
+        return f"SELECT row_id, nl_pos, {d.join(variant_reasons(d, kind), '; ')} AS mismatches FROM ({inner}) AS v"
 
     return build
 
@@ -218,6 +354,8 @@ QUERIES: dict[str, Query] = {
     "j16_brand_anti": Query(_presence("anti")),
     "j17_id_anti": Query(_missing_ids),
     "d1_gate": Query(_gate),
+    "d11_token_guard": Query(_guarded),
+    "d19a_recovered": Query(_recovered),
     "d2_identity": Query(_identity_guard),
     "d3_variant": Query(_variants("any")),
     "d4_mobile": Query(_variants("mobile")),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.operators import cascade, catalog, matching, reports, scalars
+from catalith.operators import cascade, catalog, laptops, matching, reports, scalars, selection
 
-_ALL = {**scalars.PLANS, **catalog.QUERIES, **matching.QUERIES, **reports.QUERIES}
+_ALL = {**scalars.PLANS, **catalog.QUERIES, **matching.QUERIES, **selection.QUERIES, **laptops.QUERIES, **reports.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,8 @@ by expressions that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
+import re
+
 
 def _pick(key: str, n: int, *values: str) -> str:
     return f"CASE {key} % {n} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values[:-1])) + f" ELSE '{values[-1]}' END"
@@ -90,3 +92,10 @@ INPUT_LAYER = {
     "in_name": f"CASE WHEN row_id % 113 = 0 THEN '' WHEN row_id % 4 = 0 THEN concat(lower(base_name), {_pick('row_id', 3, ' bleu', ' Black', ' Space Grey')}) WHEN row_id % 4 = 1 THEN replace(base_name, 'GB', ' GB') WHEN row_id % 4 = 2 THEN concat(base_name, ' (20', CAST(18 + row_id % 5 AS STRING), ') 5G') ELSE base_name END",
     "in_url": f"concat({_pick('row_id', 4, 'https://www.shop.example/fr/', 'see https://shop.example/p/', '//shop.example/', 'shop.example/products/')}, lower(replace(replace(base_name, ' ', '-'), '+', '')), {_pick('row_id', 5, '', '.html', '-bleu-1', '/12345', '?ref=a')})",
 }
+
+
+def inlined(x: str) -> str:
+    """An expression of ``INPUT_LAYER`` over the table itself."""
+    for name in ("base_brand", "base_name", "row_id"):
+        x = re.sub(rf"\b{name}\b", lambda _, n=name: f"({INPUT[n]})", x)
+    return x
