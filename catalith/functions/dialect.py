@@ -79,6 +79,16 @@ class Spark(Dialect):
         """Values of a group in order, each once, where it stands first."""
         return f"array_distinct(transform(array_sort(collect_list(struct({order} AS o, {value} AS v)) FILTER (WHERE {where})), z -> z.v))"
 
+    def candidates(self, x: str) -> str:
+        """The candidates that a JSON text lists; none if it is no such text."""
+        return f"coalesce(from_json(CASE WHEN {x} LIKE '[%]' THEN {x} END, 'array<struct<uae_assetid:string,uae_assetname:string,score:double,reason:string>>'), array())"
+
+    def parses(self, x: str) -> str:
+        return f"(trim(coalesce({x}, '')) = '' OR try_parse_json({x}) IS NOT NULL)"
+
+    def percent(self, x: str) -> str:
+        return f"format_string('%.1f%%', CAST({x} AS DOUBLE))"
+
     def flat(self, lists: str, order: str) -> str:
         """The lists of a group in order, as one."""
         return f"flatten(transform(array_sort(collect_list(struct({order} AS o, {lists} AS v))), z -> z.v))"
@@ -197,6 +207,15 @@ class Duck(Dialect):
     def ordered(self, value: str, order: str, where: str = "true") -> str:
         return f"coalesce({self.distinct(f'list({value} ORDER BY {order}) FILTER (WHERE {where})')}, [])"
 
+    def candidates(self, x: str) -> str:
+        return f"CASE WHEN {x} LIKE '[%]' AND json_valid({x}) THEN from_json({x}, '[{{\"uae_assetid\":\"VARCHAR\",\"uae_assetname\":\"VARCHAR\",\"score\":\"DOUBLE\",\"reason\":\"VARCHAR\"}}]') ELSE [] END"
+
+    def parses(self, x: str) -> str:
+        return f"(trim(coalesce({x}, '')) = '' OR json_valid({x}))"
+
+    def percent(self, x: str) -> str:
+        return f"printf('%.1f%%', CAST({x} AS DOUBLE))"
+
     def flat(self, lists: str, order: str) -> str:
         return f"flatten(list({lists} ORDER BY {order}))"
 

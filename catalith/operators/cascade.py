@@ -223,16 +223,43 @@ def fuzzy_results(spark: SparkSession, sf_dir: str, rest: DataFrame, names: Data
     return found.join(top, keys, "left").select(*KEYS, F.when(dropped, "").when(counts & several, F.col("selected_id")).otherwise(F.array_join("ids", ", ")).alias("mapped"), score.alias("match_score"), F.when(dropped, "NO_MATCH").when(counts, "MATCHED").otherwise("REVIEW_REQUIRED").alias("match_status"), sure.alias("confidence"), "matched_on", F.when(dropped, "fuzzy").otherwise(F.col("method")).alias("method"), (counts & several).alias("auto_selected"), F.when(dropped, "").otherwise(reason).alias("selection_reason"), F.when(counts & several, F.col("other_ids")).otherwise(none).alias("other_ids"), F.when(near | low & ~dropped, F.col("near")).alias("near"))
 
 
+def _differences(spark: SparkSession, sf_dir: str, found: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs of text and name with the attributes ``q_*`` and ``c_*`` and the reasons
+    of the strict checks, ``r_any`` and one for each kind."""
+    own = asked.select(*KEYS, *(F.col(n).alias(f"q_{n}") for n in a.FIELDS))
+    first = Window.partitionBy("brand", "normalized_name").orderBy("nl_pos")
+    of_name = _shared(spark, sf_dir, "catalog_features").withColumn("n", F.row_number().over(first)).filter("n = 1").select(F.col("normalized_name").alias("matched_on"), *(F.col(n).alias(f"c_{n}") for n in a.FIELDS))
+    pair = found.join(own, KEYS).join(of_name.withColumn("q_brand", F.col("c_brand")), ["matched_on", "q_brand"], "left").na.fill("", [f"c_{n}" for n in a.FIELDS if n not in ("variant_tokens", "storage_list")])
+    return apply_layers(cut(pair), [*matching.variant_layers(SPARK), {f"r_{k}": matching.variant_reasons(SPARK, k) for k in ("any", "mobile", "tablet", "laptop")}])
+
+
+def audited(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
+    """Matched rows of a result that the strict check of their category would not let
+    pass; of phones, differences in what is only a way of writing are told apart (G10)."""
+    texts = _shared(spark, sf_dir, "input_list").select("row_id", *KEYS)
+    asked = cut(texts.select(*KEYS).distinct().join(_shared(spark, sf_dir, "input_texts").drop("whole6"), ["query", "own_brand"]))
+    matched = results.filter("match_status IN ('MATCHED', 'MULTIPLE_MATCHES')").select("row_id", "matched_on", F.lower("category").alias("of"))
+    pairs = matched.join(texts, "row_id").groupBy(*KEYS, "matched_on", "of").agg(F.count("*").alias("rows"))
+    told = cut(_differences(spark, sf_dir, pairs, asked).select("of", "rows", "r_any", "r_mobile", "r_tablet", "r_laptop"))
+    hard = "^(?:mobile_model:|mobile_storage:|mobile_variant:|mobile_model_number:|samsung_s_number:|samsung_variant:)"
+    kinds = (("laptop_model_platform_mismatch_in_MATCHED", "laptop", "r_laptop"), ("mobile_variant_mismatch_in_MATCHED", "mobile", "r_mobile"), ("watch_mm_connectivity_mismatch_in_MATCHED", "watch", "r_any"), ("tablet_size_connectivity_mismatch_in_MATCHED", "tablet", "r_tablet"))
+    out = None
+    for name, kind, reasons in kinds:
+        wrong = (F.col("of") == kind) & (F.size(reasons) > 0)
+        n = F.coalesce(F.sum(F.when(wrong, F.col("rows"))), F.lit(0))
+        sure = F.coalesce(F.sum(F.when(wrong & F.exists(reasons, lambda r: r.rlike(hard)), F.col("rows"))), F.lit(0))
+        row = told.agg(n.alias("n"), sure.alias("confirmed"), F.coalesce(F.max(F.when(wrong, F.array_join(reasons, "; "))), F.lit("")).alias("example"))
+        row = row.select(F.lit(name).alias("audit"), "n", F.when(F.lit(kind == "mobile"), F.col("confirmed")).otherwise(F.col("n")).alias("confirmed"), F.when(F.col("n") == 0, "PASS").otherwise("WARN" if kind == "mobile" else "FAIL").alias("status"), "example")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def enforced(spark: SparkSession, sf_dir: str, found: DataFrame, asked: DataFrame) -> DataFrame:
     """Matched texts through the gates (D7): similarity never counts as matched; a
     wrong identity is no match; other contradictions go to review."""
     matched = found.filter("match_status = 'MATCHED'")
     exact = _gated(matched.filter(~F.col("method").contains("fuzzy_") & (F.col("method") != "fuzzy") | F.col("method").startswith("attribute")).select(*KEYS, "matched_on").distinct())
-    own = asked.select(*KEYS, *(F.col(n).alias(f"q_{n}") for n in a.FIELDS))
-    first = Window.partitionBy("brand", "normalized_name").orderBy("nl_pos")
-    of_name = _shared(spark, sf_dir, "catalog_features").withColumn("n", F.row_number().over(first)).filter("n = 1").select(F.col("normalized_name").alias("matched_on"), *(F.col(n).alias(f"c_{n}") for n in a.FIELDS))
-    pair = exact.join(own, KEYS).join(of_name.withColumn("q_brand", F.col("c_brand")), ["matched_on", "q_brand"], "left").na.fill("", [f"c_{n}" for n in a.FIELDS if n not in ("variant_tokens", "storage_list")])
-    pair = apply_layers(cut(pair), [*matching.variant_layers(SPARK), {f"r_{k}": matching.variant_reasons(SPARK, k) for k in ("any", "mobile", "tablet", "laptop")}])
+    pair = _differences(spark, sf_dir, exact, asked)
     cat = F.col("q_category")
     none = F.array().cast("array<string>")
     own_kind = F.when(cat == "mobile", F.col("r_mobile")).when(cat == "tablet", F.col("r_tablet")).when(cat == "laptop", F.col("r_laptop")).otherwise(none)

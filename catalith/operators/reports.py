@@ -18,7 +18,16 @@ def results(d: Dialect, table: Table) -> str:
     category = f"CASE {_K} % 7 WHEN 0 THEN 'laptop' WHEN 1 THEN 'tablet' WHEN 2 THEN 'watch' WHEN 3 THEN 'other' ELSE 'mobile' END"
     brand = f"CASE {_K} % 9 WHEN 0 THEN 'apple' WHEN 1 THEN 'samsung' WHEN 2 THEN 'dell' WHEN 3 THEN '' WHEN 4 THEN 'xiaomi' ELSE 'huawei' END"
     reasons = f"CASE {_K} % 6 WHEN 0 THEN 'storage_mismatch; variant_mismatch' WHEN 1 THEN 'category_cross' ELSE '' END"
-    return f"SELECT {_K} AS row_id, CASE {_K} % 3 WHEN 0 THEN 'List 1' ELSE 'List 2' END AS source_sheet, {status} AS match_status, {score} AS match_score, {method} AS method, {category} AS category, {brand} AS brand, concat('product ', CAST({_K} % 211 AS STRING)) AS name, concat('group ', CAST({_K} % 53 AS STRING)) AS group_key, {reasons} AS reasons FROM {table('orders')}"
+    said = f"concat('product ', CAST({_K} % 211 AS STRING), CASE {_K} % 3 WHEN 0 THEN ' 5G' WHEN 1 THEN ' 2021' ELSE '' END)"
+    why = f"CASE {_K} % 5 WHEN 0 THEN 'CATALOG_MISSING_LIKELY' WHEN 1 THEN 'BLOCKED_BY_GATE' WHEN 2 THEN 'RETRIEVAL_WEAK' WHEN 3 THEN 'CATALOG_MISSING_LIKELY' ELSE 'TAXONOMY_MISMATCH' END"
+    review = f"CASE {_K} % 3 WHEN 0 THEN 'FUZZY_ONLY' WHEN 1 THEN 'GATE_BLOCKED_SUSPICIOUS' ELSE 'MULTI_ID_AMBIGUOUS' END"
+    chosen = f"CASE {_K} % 7 WHEN 0 THEN 'Matched 5G (user has 5G)' WHEN 1 THEN 'Matched year 2021' WHEN 2 THEN 'Defaulted to 4G (user unspecified)' ELSE 'First ID (variants identical)' END"
+    one = f"concat('{{\"uae_assetid\":\"A', CAST({_K} % 300 AS STRING), '\",\"uae_assetname\":\"name ', CAST({_K} % 17 AS STRING), '\",\"score\":', CAST(60 + {_K} % 39 AS STRING), '.5,\"reason\":\"fuzzy\"}}')"
+    two = f"concat('{{\"uae_assetid\":\"B', CAST({_K} % 30 AS STRING), '\",\"uae_assetname\":\"other\",\"score\":', CAST(50 + {_K} % 49 AS STRING), '}}')"
+    alternatives = f"CASE {_K} % 11 WHEN 0 THEN '' WHEN 1 THEN 'broken [' WHEN 2 THEN '[]' WHEN 3 THEN concat('[', {one}, ',', {two}, ']') ELSE concat('[', {one}, ']') END"
+    blocked = f"CASE WHEN {_K} % 13 < 4 THEN concat('[', {two}, ']') ELSE '[]' END"
+    more = f"{said} AS original_input, concat('A', CAST(1 + {_K} % 250 AS STRING)) AS mapped_uae_assetid, concat('catalog ', CAST({_K} % 190 AS STRING)) AS matched_on, {alternatives} AS alternatives, {blocked} AS blocked_candidates, CASE WHEN {_K} % 10 IN (3, 4) THEN {why} WHEN {_K} % 10 IN (1, 2) THEN '' ELSE 'SUCCESS' END AS no_match_reason, CASE WHEN {_K} % 10 IN (1, 2) THEN {review} ELSE '' END AS review_reason, {_K} % 6 <> 0 AS verification_pass, {reasons} AS verification_reasons, CASE WHEN {_K} % 10 IN (1, 2) THEN concat('summary ', CAST({_K} % 4 AS STRING)) ELSE '' END AS review_summary, CASE WHEN {_K} % 10 IN (1, 2) THEN CAST({_K} % 120 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS review_priority, {_K} % 10 >= 5 AND {_K} % 4 = 0 AS auto_selected, CASE WHEN {_K} % 10 >= 5 AND {_K} % 4 = 0 THEN {chosen} ELSE '' END AS selection_reason"
+    return f"SELECT {more}, {_K} AS row_id, CASE {_K} % 3 WHEN 0 THEN 'List 1' ELSE 'List 2' END AS source_sheet, {status} AS match_status, {score} AS match_score, {method} AS method, {category} AS category, {brand} AS brand, concat('product ', CAST({_K} % 211 AS STRING)) AS name, concat('group ', CAST({_K} % 53 AS STRING)) AS group_key, {reasons} AS reasons FROM {table('orders')}"
 
 
 def _over(select: str, tail: str = ""):
@@ -28,8 +37,9 @@ def _over(select: str, tail: str = ""):
 def _metrics(d: Dialect, table: Table) -> str:
     n = {s: d.count_if(f"match_status = '{s}'") for s in ("MATCHED", "MULTIPLE_MATCHES", "REVIEW_REQUIRED", "NO_MATCH")}
     counts = ", ".join(f"{x} AS {s.lower()}" for s, x in n.items())
-    near, risk = d.count_if("match_status = 'NO_MATCH' AND match_score >= 80"), d.count_if("match_status = 'MATCHED' AND match_score < 95")
-    return f"SELECT CAST(count(*) AS BIGINT) AS total, {counts}, CAST(round(100.0 * {n['MATCHED']} / count(*), 1) AS DOUBLE) AS matched_rate, {near} AS near_miss, {risk} AS at_risk, round(avg(match_score), 2) AS mean_score FROM ({results(d, table)}) AS r"
+    near, risk = d.count_if("match_status = 'NO_MATCH' AND match_score >= 80"), d.count_if("match_status = 'MATCHED' AND NOT verification_pass")
+    mean = "coalesce(round(avg(CASE WHEN match_status = 'MATCHED' THEN match_score END), 2), 0.0)"
+    return f"SELECT CAST(count(*) AS BIGINT) AS total, {counts}, CAST(round(100.0 * {n['MATCHED']} / count(*), 1) AS DOUBLE) AS matched_rate, {near} AS near_miss, {risk} AS at_risk, {mean} AS mean_score FROM ({results(d, table)}) AS r"
 
 
 def _rollup(d: Dialect, table: Table) -> str:
@@ -64,7 +74,7 @@ def _requests(d: Dialect, table: Table) -> str:
 
 
 def _difference(d: Dialect, table: Table) -> str:
-    return f"SELECT DISTINCT name FROM ({results(d, table)}) AS r WHERE source_sheet = 'List 1' EXCEPT SELECT name FROM ({results(d, table)}) AS r WHERE source_sheet = 'List 2' AND row_id % 4 = 0"
+    return f"SELECT DISTINCT name FROM ({results(d, table)}) AS r WHERE source_sheet = 'List 1' EXCEPT SELECT name FROM ({results(d, table)}) AS r WHERE source_sheet = 'List 2'"
 
 
 def _membership(d: Dialect, table: Table) -> str:
@@ -101,7 +111,7 @@ QUERIES: dict[str, Query] = {
     "j18_compare": Query(_compare),
     "o1_review_queue": Query(_top(10, "match_score DESC, row_id", "match_status = 'REVIEW_REQUIRED'")),
     "o6_near_miss_top": Query(lambda d, t: f"SELECT row_id, name, match_score FROM ({results(d, t)}) AS r WHERE match_status = 'NO_MATCH' ORDER BY match_score DESC, row_id LIMIT 50"),
-    "o2_quick_review": _over("row_id, match_score, CASE WHEN match_score >= 88 THEN 'quick' ELSE 'deep' END AS queue", "WHERE match_status = 'REVIEW_REQUIRED'"),
+    "o2_quick_review": _over("row_id, match_score, CASE WHEN match_score >= 90 THEN 'quick' ELSE 'deep' END AS queue", "WHERE match_status = 'REVIEW_REQUIRED'"),
     "o3_problem_sort": _over("row_id, match_status, CAST(row_number() OVER (PARTITION BY source_sheet ORDER BY CASE match_status WHEN 'MULTIPLE_MATCHES' THEN 0 WHEN 'REVIEW_REQUIRED' THEN 1 WHEN 'NO_MATCH' THEN 2 ELSE 3 END, match_score, row_id) AS BIGINT) AS place"),
     "o5_lowest_brands": _over("brand, CAST(round(100.0 * sum(CASE WHEN match_status = 'MATCHED' THEN 1 ELSE 0 END) / count(*), 1) AS DOUBLE) AS rate", "GROUP BY brand ORDER BY rate, brand LIMIT 15"),
     "g17_risk": _over("source_sheet, CAST(sum(CASE WHEN match_status = 'MATCHED' AND (match_score < 95 OR reasons <> '') THEN 1 ELSE 0 END) AS BIGINT) AS false_positives, CAST(sum(CASE WHEN match_status = 'NO_MATCH' AND match_score >= 80 THEN 1 ELSE 0 END) AS BIGINT) AS missed", "GROUP BY source_sheet"),

@@ -23,6 +23,7 @@ from catalith.functions import text as x
 from catalith.functions.dialect import SPARK
 from catalith.operators.catalog import specific
 from catalith.plans.layers import apply_layers
+from catalith.plans.materialize import cut
 from catalith.sources import headers
 from catalith.sources.headers import Roles
 
@@ -98,8 +99,10 @@ def names_from_links(rows: DataFrame, link: str, share: float = LINK_SHARE) -> t
     """``product_name`` made from links, if enough rows get one; else the rows as they are."""
     own = [c for c in rows.columns if c != "product_name"]
     layers = [{"__path": x.url_path(SPARK, f"`{link}`")}, {"__name": x.url_name(SPARK, "__path")}, {"product_name": x.clean_url_name(SPARK, "__name")}]
-    made = apply_layers(rows.select(*(f"`{c}`" for c in own)), layers).select(*(f"`{c}`" for c in own), "product_name")
-    said = made.agg(F.count("*").alias("n"), F.count_if("trim(product_name) <> ''").alias("named")).first()
+    links = apply_layers(rows.select(f"`{link}`").distinct(), layers).select(F.col(f"`{link}`").alias("__link"), "product_name")
+    kept = rows.select(*(f"`{c}`" for c in own))
+    made = cut(kept.join(links, kept[f"`{link}`"].eqNullSafe(links["__link"])).drop("__link"), "links")
+    said = made.agg(F.count("*").alias("n"), F.count_if(F.trim("product_name") != "").alias("named")).first()
     enough = said["named"] >= share * said["n"]
     return (made, True) if enough else (rows, False)
 
@@ -125,9 +128,10 @@ def read_workbook(spark: SparkSession, folder: str, catalog_words: Sequence[str]
     return out
 
 
-def read_catalog_sheet(spark: SparkSession, path: str, skip_rows: int = 2) -> DataFrame:
-    """The catalog: two title rows, an empty first column, then four columns with fixed names."""
-    top = _top_rows(spark, path)[:skip_rows]
+def read_catalog_sheet(spark: SparkSession, path: str, skip_rows: int = 2, titles: Sequence[Sequence[str | None]] | None = None) -> DataFrame:
+    """The catalog: title rows, an empty first column, then four columns with fixed
+    names.  The titles are the first rows of a single file unless they are given."""
+    top = _top_rows(spark, path)[:skip_rows] if titles is None else titles
     width = 5
     raw = [f"_{i}" for i in range(width)]
     cells = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in raw])).option("escape", '"').csv(path)
