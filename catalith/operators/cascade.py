@@ -48,7 +48,7 @@ def _compared(asked: DataFrame, names: DataFrame, cutoff: float, top: int) -> Da
     least = F.greatest(F.lit(cutoff), "least")
     bound = 200.0 * F.least(F.length("query"), F.length("normalized_name")) / (F.length("query") + F.length("normalized_name"))
     held = F.col("need").isNull() | F.col("normalized_name").contains(F.col("need"))
-    scored = asked.join(names, ["in_brand", "in_category"]).filter((bound >= least) & held).withColumn("score", F.round(token_sort_ratio_udf("query", "normalized_name"), 2)).filter(F.col("score") >= least)
+    scored = asked.join(names, ["in_brand", "in_category"]).filter((bound >= least) & held).withColumn("score", F.bround(token_sort_ratio_udf("query", "normalized_name"), 2)).filter(F.col("score") >= least)
     best = Window.partitionBy("query", "brand", "category").orderBy(F.desc("score"), "pos")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query", "brand", "category", "normalized_name", "asset_id", "n_ids", "score", F.col("rank").cast("long").alias("rank"))
 
