@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 U = np.uint64
 #: Fingerprints that a task gathers at least and at most before it sends blocks, and for
 #: each bucket; those that a bucket may hold; marks of one key in a task from which on it may be dealt out.
-GATHER, MOST, SHARE, PER_BUCKET, HOT = 200_000, 2_000_000, 32, 200_000, 16
+GATHER, MOST, SHARE, PER_BUCKET, HOT = 300_000, 2_000_000, 32, 200_000, 16
 COVERED, OPEN, RUN = 0, 1, 2
 _KNOWN, _DEALT, _SIGN, _OLD = 1, 2, 4, 8
 NO_ID = np.iinfo(np.int64).max
@@ -85,7 +85,7 @@ def blocks(rows: DataFrame, scan: Scan, buckets: int) -> DataFrame:
     """``bucket, block`` of the fingerprints that ``scan`` finds in batches of rows.
     Their keys must be spread evenly over 64 bits."""
     gather = min(max(GATHER, SHARE * buckets), MOST)
-    many = max(HOT, gather // (4 * buckets))  # a quarter of a bucket's share
+    many = max(HOT, gather // buckets)  # a bucket's share
 
     def flush(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, mark, doc = (np.concatenate(x) for x in zip(*found, strict=True))
