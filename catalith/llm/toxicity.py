@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +36,12 @@ from pyspark.sql import functions as F
 
 from catalith.llm.common import cut, id_and_text, rowwise
 
-MAX_ROWS, MAX_TERMS, LEAST_DOCS, LEAST_RATIO = 20_000, 2_000, 5, 6.0
+MAX_ROWS, LEAST_DOCS, LEAST_RATIO = 20_000, 5, 6.0
 SHORTEST_STEM, FUZZY_FROM, CONTEXT = 4, 5, 8
 MEMO_WORDS = 400_000
 _WORD = re.compile(r"[^\W_]+(?:[@$*'’!][^\W_]+)*")
-_QUOTES = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|‘[^’\n]{1,400}’")
+#: Signs that open a quotation, and those that close it.
+_QUOTES = (('"', '"'), ("“", "”"), ("«", "»"), ("„", "“”"), ("‘", "’"))
 _REPORTING = frozenset("said says say wrote writes called calls reported quoted quote quotes word words term insult insults slur dijo escribió llamó palabra dit écrit appelé mot sagte schrieb nannte wort zitat".split())
 _ADDRESS = frozenset("you your youre u ur du dich dir dein deine tu te toi ton ta vous usted tú ti".split())
 _FEATURES = 10
@@ -135,11 +138,14 @@ def hits(text: str | None, lexicon: Lexicon) -> Hits:
         return Hits(len(plain), out)
     words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(low)]
     met = [(i, *terms[w]) for i, w in enumerate(plain) if w in terms]
-    quotes = [m.span() for m in _QUOTES.finditer(low)]
+    quotes = sorted(quotations(low))
+    begins = [q for q, _ in quotes]
+    reach = list(accumulate((e for _, e in quotes), max))  # the farthest end of the quotations so far
     for i, kind, term in met:
         start, end, _ = words[i]
         near = {w for _, _, w in words[max(0, i - CONTEXT) : i + CONTEXT + 1]}
-        quoted = any(a < start and end < b for a, b in quotes) or not near.isdisjoint(_REPORTING)
+        k = bisect_left(begins, start) - 1
+        quoted = k >= 0 and end < reach[k] or not near.isdisjoint(_REPORTING)
         out.append((start, end, kind, term, quoted, not near.isdisjoint(_ADDRESS)))
     return Hits(len(words), out)
 
@@ -153,6 +159,27 @@ def _features(seen: Hits, lexicon: Lexicon) -> list[float]:
     return [1.0, *logs, math.log1p(sum(a for *_, a in seen.found)), 1.0 if weight[1] + weight[2] else 0.0, math.log1p(len({t for _, _, _, t, _, _ in seen.found})), math.log1p(20 * total / (seen.words + 20))]
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Start and end of what stands between signs of quotation on one line, of any
+    length; each sign is looked at once for each pair of signs."""
+    out = []
+    for opening, closing in _QUOTES:
+        if opening not in text:
+            continue
+        at = 0
+        for line in text.split("\n"):
+            start = line.find(opening)
+            while start >= 0:
+                ends = [e for e in (line.find(c, start + 1) for c in closing) if e >= 0]
+                if not ends:
+                    break
+                if min(ends) > start + 1:
+                    out.append((at + start, at + min(ends) + 1))
+                start = line.find(opening, min(ends) + (min(ends) > start + 1 or opening != closing))
+            at += len(line) + 1
+    return out
+
+
 _LEXICONS: dict[tuple, Lexicon] = {}
 
 
@@ -217,7 +244,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not toxic or not clean:
         return ToxicityModel({}, {}, [])
     ratio = (F.col("toxic") / F.lit(toxic)) / ((F.col("clean") + 0.5) / F.lit(clean + 0.5))
-    picked = _terms(labelled).filter((F.col("toxic") >= max(LEAST_DOCS, toxic // 50)) & (ratio >= LEAST_RATIO)).orderBy(F.desc("toxic"), "term").limit(MAX_TERMS)
+    # a term stands in one of 50 toxic documents at least, so they are few: at most 50 times the words of a document
+    picked = _terms(labelled).filter((F.col("toxic") >= max(LEAST_DOCS, toxic // 50)) & (ratio >= LEAST_RATIO))
     model = ToxicityModel(*_choose([(r["term"], r["ratio"]) for r in picked.select("term", ratio.alias("ratio")).collect()]), [])
 
     def one(rows: dict[str, list]) -> dict[str, list]:

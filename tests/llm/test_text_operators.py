@@ -277,6 +277,61 @@ def test_quotation_and_address_are_seen():
     assert [h[4:] for h in toxicity.hits("you are a moron", lexicon).found] == [(False, True)]
 
 
+def plain_features(text, words, stems):
+    """The ten features by brute force: every term against every word."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row
+
+    low = text.lower()
+    found = list(re.finditer(r"[^\W_]+(?:[@$*'’!][^\W_]+)*", low))
+    quoted = [m.span() for line in re.finditer(r"[^\n]+", low) for p in (r'"[^"]+"', "“[^”]+”", "«[^»]+»") for m in re.compile(p).finditer(low, line.start(), line.end())]
+    weight, seen, addressed = Counter(), set(), 0
+    for n, m in enumerate(found):
+        hits = []
+        for t in words:
+            d = distance(t, m[0])[-1]
+            if d == 0 or d == 1 and len(t) >= 5:
+                hits.append((1 if d == 0 else 3, t))
+        for t in stems:
+            d = min(distance(t, m[0]))
+            if d == 0 or d == 1 and len(t) >= 5:
+                hits.append((2 if d == 0 else 4, t))
+        if hits:
+            kind, term = min(hits)
+            near = {x[0] for x in found[max(0, n - 8) : n + 9]}
+            told = any(a < m.start() and m.end() < b for a, b in quoted) or near & toxicity._REPORTING
+            weight["quoted" if told else kind] += words[term] if kind in (1, 3) else stems[term]
+            seen.add(term)
+            addressed += bool(near & toxicity._ADDRESS)
+    total = sum(weight.values())
+    return [1.0, *(np.log1p(weight[k]) for k in (1, 2, 3, 4, "quoted")), np.log1p(addressed), float(weight[1] + weight[2] > 0), np.log1p(len(seen)), np.log1p(20 * total / (len(found) + 20))]
+
+
+def test_features_and_scores_equal_brute_force():
+    rng = random.Random(21)
+    words, stems = {"stupid": 1.5, "scum": 2.0, "moron": 0.5, "worthless": 3.0}, {"idio": 1.0, "looser": 2.5}
+    lexicon = toxicity.Lexicon(words, stems)
+    model = toxicity.ToxicityModel(words, stems, [rng.uniform(-1, 1) for _ in range(10)])
+    pool = [*words, "stupd", "moronn", "idiot", "loosers", "losers", "scums", "worthles", "calm", "day", "you", "said", "and", "table", "Morons", '"', '"', "“", "”", "\n", "«", "»"]
+    for n in range(300):
+        text = " ".join(rng.choices(pool, k=rng.randrange(0, 40))) + (' "' + "x " * 600 + 'moron" ' if n % 10 == 0 else "")
+        got, want = toxicity._features(toxicity.hits(text, lexicon), lexicon), plain_features(text, words, stems)
+        assert np.allclose(got, want), text
+        assert np.isclose(model.score(np.array([got]))[0], 1 / (1 + np.exp(-np.dot(want, model.weights))))
+
+
+def test_quotations_take_linear_time():
+    began = time.perf_counter()
+    assert toxicity.quotations("“" * 300_000) == [] and len(toxicity.quotations('"a' * 200_000)) == 100_000
+    assert time.perf_counter() - began < 5
+
+
 def test_held_out_labels_are_predicted(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)
