@@ -33,11 +33,11 @@ from catalith.llm.common import id_and_text
 from catalith.llm.rolling import batches, cover, spread
 
 #: Items are taken in blocks of so many characters; a block's tables go to every task.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 2_000_000
 #: Words of text that one cursor searches.
 STRETCH = 256
-#: Bits of the shift tables.
-TABLE_BITS = 18
+#: Bits of the shift tables, at least; there are at least as many slots for each block of words.
+TABLE_BITS, SLOTS = 18, 4
 
 #: a-z and 0-9 stay, A-Z become lower case, other ASCII parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -55,7 +55,9 @@ class _Search:
         self.patterns, self.items = patterns, items
         self.length = m = patterns.shape[1]
         self.block = b = min(2, m)
-        self.shift = np.full(1 << TABLE_BITS, m - b + 1, np.uint8 if m < 255 else np.int32)
+        self.bits = max(TABLE_BITS, (SLOTS * len(patterns) * m).bit_length() if m > b else 0)
+        self.bits = min(self.bits, 24)
+        self.shift = np.full(1 << self.bits, m - b + 1, np.uint8 if m < 255 else np.int32)
         for end in range(b, m + 1):  # ascending, so that the least shift stays
             self.shift[self._slot(patterns[:, end - b], patterns[:, end - 1])] = m - end
         suffix = self._slot(patterns[:, m - b], patterns[:, m - 1])
@@ -64,7 +66,7 @@ class _Search:
 
     def _slot(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         mixed = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return (mixed >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and pattern of every occurrence; word 0 is in no pattern."""
@@ -106,7 +108,7 @@ class WuManber:
             size = min(window, len(ids))
             for at in range(len(ids) - size + 1 if size else 0):
                 by_length.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), set()).add(n)
-        self.searches = [_Search(np.array(list(p), np.int64), [sorted(x) for x in p.values()]) for _, p in sorted(by_length.items())]
+        self.searches = [_Search(np.array(list(p), np.int32), [sorted(x) for x in p.values()]) for _, p in sorted(by_length.items())]
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
         """Of each text: its words, the word ranges that are hit, and the items."""
