@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from catalith.llm import fingerprints as fp
-from catalith.llm.common import id_and_text, shuffle_partitions, small_batches
+from catalith.llm.common import cut, id_and_text, shuffle_partitions, small_batches
 from catalith.llm.rolling import Prefix, anchors, batches, cover, mix, spread
 
 LENGTH, GRAM, PARTS = 100, 36, 4
@@ -208,6 +208,42 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return joined.mapInArrow(_last(length, gram), "doc_id long, n_bytes long, n_removed long, spans array<long>, kept binary")
 
 
+def _positions(length: int, first: int):
+    """Every position that has ``first`` bytes after it, ranked by these bytes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p.slice(at, 64) for p in parts for at in range(0, p.num_rows, 64)):
+            ids, texts = _ids(part), [_bytes(t) for t in part.column("text").to_pylist()]
+            for i, text in zip(ids.tolist(), texts, strict=True):
+                n = len(text) - first + 1
+                if len(text) >= length:
+                    cells = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), first)
+                    rank = np.ascontiguousarray(cells).view(">i8").ravel().astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i)), pa.array(np.arange(n)), pa.array(rank)], names=["doc", "start", "rank"])
+
+    return run
+
+
+def plain_doubling(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """``doc, start`` of all strings of ``length`` bytes that also start earlier, by
+    prefix doubling over all positions: Spark sorts pairs of ranks at offsets 8, 16,
+    32 and so on, what is unique goes, and a pair's rank is its first position.  It
+    moves some 20 times the input in each round; ``remove_repeated_bytes`` ranks
+    samples instead.  Rows that share an id must hold the same text."""
+    source = id_and_text(docs, id_col, text_col).withColumn("key", fp.document_key()).dropDuplicates(["key"])
+    known, ranks = 8, source.select("key", "text").mapInArrow(_positions(length, 8), "doc long, start long, rank long")
+    ranks = ranks.select("doc", "start", F.struct(F.col("rank").alias("a"), F.lit(0).cast("long").alias("b")).alias("rank"))
+    while known < length:
+        again = Window.partitionBy("rank")
+        shared = cut(ranks.withColumn("n", F.count("*").over(again)).filter("n > 1").drop("n"))
+        offset = min(known, length - known)
+        right = shared.select("doc", (F.col("start") - offset).alias("start"), F.col("rank").alias("right"))
+        pairs = shared.join(right, ["doc", "start"])
+        first = F.min(F.struct(F.col("doc").alias("a"), F.col("start").alias("b"))).over(Window.partitionBy("rank", "right"))
+        ranks, known = pairs.select("doc", "start", first.alias("rank")), known + offset
+    return ranks.filter(F.struct(F.col("doc").alias("a"), F.col("start").alias("b")) > F.col("rank")).select("doc", "start")
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 

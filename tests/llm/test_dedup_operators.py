@@ -127,6 +127,18 @@ def test_bytes_equal_brute_force(spark, seed):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_bytes(rows)
 
 
+def test_plain_doubling_equals_brute_force(spark):
+    rows = [(i, t) for i, t in dict(corpus(9, 25)).items() if i is not None]
+    got = {(r.doc, r.start) for r in suffix_dedup.plain_doubling(documents(spark, rows)).collect()}
+    first, want = {}, set()
+    for i, t in sorted(rows):
+        data = (t or "").encode()
+        for at in range(len(data) - 99):
+            if first.setdefault(data[at : at + 100], (i, at)) != (i, at):
+                want.add((i, at))
+    assert got == want and want
+
+
 def test_empty_tables(spark):
     none = documents(spark, [(1, "a")]).limit(0)
     assert substring_index.remove_repeated_windows(none).count() == 0
