@@ -12,8 +12,9 @@ five-word shingles, in a band that the similarity bounds, matches at least
    different components are compared in blocks of bounded size; a pair is
    aligned in the first bucket that it shares only, if it has enough shingles in
    common, and what the block has linked already is passed over.  Buckets of
-   more than ``LARGE`` texts are split by a second key first, which loses pairs
-   that share one key only.
+   more than ``LARGE`` texts are split by the rarest shingles of their texts, as
+   in 3, so that texts are compared if they share a key and a shingle that they
+   must share; the links are those of one undivided bucket.
 3. Texts of up to ``SHORT`` shingles are also compared, in such blocks, wherever
    they share one of their n - ceil(least * n) + 1 rarest shingles.  Two texts
    at ``least`` must share one of these, so no such pair is lost.
@@ -43,7 +44,7 @@ from catalith.llm.fingerprints import document_key
 from catalith.llm.order_minhash import labelled, similarity, sketch, word_hashes
 
 LEAST = 0.8
-#: Texts in half a block; texts of a bucket from which on it is split by a second key; texts that one copy of a star's centre meets.
+#: Texts in half a block; texts of a bucket from which on it is split by rare shingles; texts that one copy of a star's centre meets.
 BLOCK, LARGE, STAR = 512, 4096, 128
 #: Shingles of a text up to which all similar texts are found; labels of a group up to which its common shingles are counted before pairs are aligned.
 SHORT, COUNTED = 62, 1 << 22
@@ -139,7 +140,6 @@ def _forest(labels):
 def _block(least: float):
     def one(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
-        half, second = rows["c1"][0], rows["c2"][0]
         at = {t: i for i, t in enumerate(rows["tid"])}  # a text once
         index = sorted(at.values(), key=lambda i: rows["tid"][i])
         keys = np.array([rows["keys"][i] for i in index], np.int64)
@@ -147,15 +147,11 @@ def _block(least: float):
         top, parent = _forest(rows["comp"][i] for i in index)
         texts = _Texts.of([rows["words"][i] for i in index], least)
         found = []
-        own, other = rows["j1"][0], rows["j2"][0]
+        own = rows["j"][0]
         for x in range(len(index) - 1):
             same = keys[x] == keys[x + 1 :]
-            ok = same[:, own] & (same.argmax(1) == own)  # the pair's first shared key
-            if other >= 0:
-                rest = same.copy()
-                rest[:, own] = False
-                ok &= rest[:, other] & (rest.argmax(1) == other)
-            if second != half:
+            ok = same.any(1) if own < 0 else same[:, own] & (same.argmax(1) == own)  # the pair's first shared key
+            if rows["c1"][0] != rows["c2"][0]:
                 ok &= part[x + 1 :] != part[x]
             if ok.any():
                 ok &= texts.alike(x)[x + 1 :]
@@ -200,18 +196,35 @@ def _in_blocks(each: DataFrame) -> DataFrame:
     return each.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"c1": F.least("chunk", "with"), "c2": F.greatest("chunk", "with")})
 
 
+def _shingles(parts):
+    """The labelled shingles of texts, and how many a text has."""
+    for part in (p.slice(at, 64) for p in parts for at in range(0, p.num_rows, 64)):
+        labels = [labelled(np.frombuffer(w, np.uint32)).view(np.int64) for w in part.column("words").to_pylist()]
+        sizes = np.array([len(x) for x in labels], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("tid").to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(labels))], names=["tid", "size", "mark"])
+
+
+def _rarest(each: DataFrame, least: float) -> DataFrame:
+    """``mark, tid``: of each text's shingles (``tid, size, mark``) its rarest, as
+    many as two texts at ``least`` need to meet; those of one text only are left out."""
+    counts = each.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1")
+    ranked = each.join(counts, "mark").groupBy("tid").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "mark"))).alias("ranked"))
+    room = F.size("ranked") + 1 - F.ceil(F.col("size") * F.lit(least) - F.lit(1e-6))
+    return ranked.select("tid", F.explode(F.slice("ranked", F.lit(1), F.greatest(room, F.lit(0)).cast("int"))).alias("z")).select("z.mark", "tid")
+
+
+def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with their bucket's size and their text's component, of buckets that hold several."""
+    placed = cut(postings.join(labels, postings["tid"] == labels["v"], "left").select("mark", "tid", F.coalesce("label", "tid").alias("comp")))
+    mixed = placed.groupBy("mark").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("mark", "n")
+    return placed.join(mixed, "mark")
+
+
 def short_links(short: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """Links between short texts (``tid, labels``) of different components.  A
     text stands under its rarest shingles, as many as two texts need to meet."""
-    each = short.select("tid", F.explode("labels").alias("mark"))
-    counts = each.groupBy("mark").agg(F.count("*").alias("n"))
-    ranked = each.join(counts, "mark").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("n", "mark"))).alias("ranked"))
-    size = F.size("ranked")
-    rarest = F.slice("ranked", F.lit(1), (size - F.ceil(size * F.lit(least) - F.lit(1e-6)) + 1).cast("int"))
-    postings = ranked.select("tid", F.explode(F.filter(rarest, lambda z: z["n"] > 1)).alias("z")).select("tid", "z.mark")
-    placed = cut(postings.join(labels, postings["tid"] == labels["v"], "left").select("mark", "tid", F.coalesce("label", "tid").alias("comp")))
-    mixed = placed.groupBy("mark").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("mark", "n")
-    ready = _in_blocks(placed.join(mixed, "mark")).join(short, "tid").select("mark", "c1", "c2", "chunk", "tid", "comp", "labels")
+    each = short.select("tid", F.size("labels").cast("long").alias("size"), F.explode("labels").alias("mark"))
+    ready = _in_blocks(_mixed(_rarest(each, least), labels)).join(short, "tid").select("mark", "c1", "c2", "chunk", "tid", "comp", "labels")
     return ready.groupBy("mark", "c1", "c2").applyInArrow(_short_block(least), "a long, b long")
 
 
@@ -262,15 +275,12 @@ def _classes(source: DataFrame, least: float) -> DataFrame:
     placed = members.join(labels, members["tid"] == labels["v"], "left").select("j", "key", "n", "tid", F.coalesce("label", "tid").alias("comp"))
     mixed = placed.groupBy("j", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("j", "key")
     left = cut(placed.join(mixed, ["j", "key"]))
-    keyed = left.join(texts.select("tid", "keys"), "tid")
-    small = keyed.filter(F.col("n") <= LARGE).select(F.col("j").alias("j1"), F.lit(-1).alias("j2"), F.col("key").alias("k1"), F.lit(0).cast("long").alias("k2"), "n", "tid", "comp", "keys")
-    split = keyed.filter(F.col("n") > LARGE).select(F.col("j").alias("j1"), F.posexplode("keys").alias("j2", "k2"), F.col("key").alias("k1"), "tid", "comp", "keys").filter("j2 > j1")
-    ids = ["j1", "j2", "k1", "k2"]
-    again = split.groupBy(*ids).agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    split = split.join(again.select(*ids, "n"), ids)
-    each = _in_blocks(small.unionByName(split.select(small.columns)))
-    ready = each.join(words, "tid").select(*ids, "c1", "c2", "chunk", "tid", "comp", "keys", "words")
-    more = cut(ready.groupBy(*ids, "c1", "c2").applyInArrow(_block(least), "a long, b long"))
+    small = left.filter(F.col("n") <= LARGE).select("j", F.col("key").alias("mark"), "n", "tid", "comp")
+    large = cut(left.filter(F.col("n") > LARGE).select("tid").distinct())
+    split = _mixed(_rarest(words.join(large, "tid").mapInArrow(_shingles, "tid long, size long, mark long"), least), labels)
+    each = _in_blocks(small.unionByName(split.select(F.lit(-1).alias("j"), "mark", "n", "tid", "comp")))
+    ready = each.join(texts.select("tid", "keys"), "tid").join(words, "tid").select("j", "mark", "c1", "c2", "chunk", "tid", "comp", "keys", "words")
+    more = cut(ready.groupBy("j", "mark", "c1", "c2").applyInArrow(_block(least), "a long, b long"))
 
     # 3. short texts
     short = cut(short_links(texts.filter("labels is not null").select("tid", "labels"), labels, least))
