@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +62,25 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def release() -> None:
+    """Give back the memory that a worker holds and does not use: Spark keeps
+    workers for later tasks, and what each stage has freed would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over a task's batches, and memory given back when the task is done."""
+
+    def whole(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        release()
+
+    return whole
+
+
 def rowwise(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, list]], rows: int = 512) -> DataFrame:
     """Map slices of at most ``rows`` rows from columns to columns."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -74,7 +94,7 @@ def rowwise(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str
                     yield pa.RecordBatch.from_pydict({n: out[n] for n in names}, schema=target)
 
     target = arrow_schema(schema)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalith.llm.common import id_and_text
+from catalith.llm.common import id_and_text, small_batches, tidy
 from catalith.llm.rolling import batches, cover, spread
 
 #: Items are taken in blocks of so many characters; a block's tables go to every task.
@@ -151,6 +151,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
     """The kept columns with number of words, hit ranges and items.  Each block
     of items is one narrow pass that adds to what the passes before it found."""
     spark, frame = docs.sparkSession, docs
+    small_batches(spark)
     blocks = _blocks(benchmark, item_col, item_text_col, block_chars)
     block, later = next(blocks, []), next(blocks, None)
     names = [n for n, _, _ in _ADDED]
@@ -172,7 +173,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
                 made = [pa.array(v, t) for v, (_, t, _) in zip((words, hits, items), _ADDED, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), *made], names=[*columns, *names])
 
-        frame = frame.mapInArrow(run, T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, t) for n, _, t in _ADDED)]))
+        frame = frame.mapInArrow(tidy(run), T.StructType([*(docs.schema[c] for c in columns), *(T.StructField(n, t) for n, _, t in _ADDED)]))
         if later is None:
             return frame
         block, later = later, next(blocks, None)

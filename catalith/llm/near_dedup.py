@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import cut, id_and_text
+from catalith.llm.common import cut, id_and_text, small_batches, tidy
 from catalith.llm.fingerprints import document_key
 from catalith.llm.order_minhash import labelled, similarity, sketch, word_hashes
 
@@ -251,7 +251,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _classes(source: DataFrame, least: float) -> DataFrame:
     """``doc_id, key, raw, leader`` of each row: ``raw`` tells its text, ``leader`` (least
     key and digest) its class, also where two classes have the same least id."""
-    sketched = cut(source.mapInArrow(_sketches, "doc_id long, key long, raw long, d1 long, d2 long, keys array<long>, labels array<long>"))
+    small_batches(source.sparkSession)
+    sketched = cut(source.mapInArrow(tidy(_sketches), "doc_id long, key long, raw long, d1 long, d2 long, keys array<long>, labels array<long>"))
     texts = cut(sketched.groupBy("d1", "d2").agg(F.min("key").alias("first_id"), F.first("keys").alias("keys"), F.first("labels").alias("labels")).withColumn("tid", F.monotonically_increasing_id()))
 
     postings = texts.select("tid", F.posexplode("keys").alias("j", "key"))
@@ -260,7 +261,7 @@ def _classes(source: DataFrame, least: float) -> DataFrame:
 
     wanted = texts.join(members.select("tid").distinct(), "tid").select("tid", "d1", "d2", F.col("first_id").alias("key"))
     found = source.select("key", "text").join(wanted.hint("shuffle_hash"), "key")
-    words = cut(found.select("tid", "d1", "d2", "text").mapInArrow(_sequences, "tid long, words binary").dropDuplicates(["tid"]))
+    words = cut(found.select("tid", "d1", "d2", "text").mapInArrow(tidy(_sequences), "tid long, words binary").dropDuplicates(["tid"]))
 
     # 1. stars
     pairs = members.filter("tid <> first").select("first", "tid").distinct()
@@ -277,7 +278,7 @@ def _classes(source: DataFrame, least: float) -> DataFrame:
     left = cut(placed.join(mixed, ["j", "key"]))
     small = left.filter(F.col("n") <= LARGE).select("j", F.col("key").alias("mark"), "n", "tid", "comp")
     large = cut(left.filter(F.col("n") > LARGE).select("tid").distinct())
-    split = _mixed(_rarest(words.join(large, "tid").mapInArrow(_shingles, "tid long, size long, mark long"), least), labels)
+    split = _mixed(_rarest(words.join(large, "tid").mapInArrow(tidy(_shingles), "tid long, size long, mark long"), least), labels)
     each = _in_blocks(small.unionByName(split.select(F.lit(-1).alias("j"), "mark", "n", "tid", "comp")))
     ready = each.join(texts.select("tid", "keys"), "tid").join(words, "tid").select("j", "mark", "c1", "c2", "chunk", "tid", "comp", "keys", "words")
     more = cut(ready.groupBy("j", "mark", "c1", "c2").applyInArrow(_block(least), "a long, b long"))

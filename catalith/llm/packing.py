@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from catalith.llm.common import cut, id_and_text, rowwise
+from catalith.llm.common import cut, id_and_text, rowwise, small_batches, tidy
 from catalith.llm.rolling import batches
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; further words are encoded each time.
 MEMO_WORDS = 400_000
+#: Characters that a worker splits into words at once, and documents that it encodes at once.
+AT_ONCE, ROWS = 1 << 20, 512
 #: Combinations offered to the solver, and its steps.
 MAX_COMBINATIONS, STEPS = 30_000, 400
 
@@ -74,7 +76,7 @@ class WordTokenizer:
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
                 plain.append(i)
-        for begin, end in batches([texts[i] for i in plain], 1 << 22):
+        for begin, end in batches([texts[i] for i in plain], AT_ONCE):
             some = plain[begin:end]
             for i, ids in zip(some, self._plain([texts[i] for i in some]), strict=True):
                 out[i] = ids
@@ -148,7 +150,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
                     out[k].append(v)
         return out
 
-    return rowwise(id_and_text(docs, id_col, text_col), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", one, 2048)
+    return rowwise(id_and_text(docs, id_col, text_col), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long", one, ROWS)
 
 
 def combinations(counts: np.ndarray, capacity: int) -> np.ndarray:
@@ -271,6 +273,7 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]], size: int) -> dict[int,
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of each piece."""
+    small_batches(docs.sparkSession)
     found = cut(pieces(docs, vocabulary, end_id, capacity, id_col, text_col).withColumn("part", F.spark_partition_id()))
     per_part = found.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -307,7 +310,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPA
             yield keep.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     pieces_schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    numbered = found.mapInArrow(ranked, f"{pieces_schema}, part int, rank long")
+    numbered = found.mapInArrow(tidy(ranked), f"{pieces_schema}, part int, rank long")
     met = numbered.join(starts.select("length", "part", "before"), ["length", "part"])
     met = met.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"))
-    return met.mapInArrow(placed, f"{pieces_schema}, sequence_id long, offset long")
+    return met.mapInArrow(tidy(placed), f"{pieces_schema}, sequence_id long, offset long")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import cut, id_and_text, rowwise
+from catalith.llm.common import cut, id_and_text, rowwise, small_batches, tidy
 
 MAX_ROWS, LEAST_DOCS, LEAST_RATIO = 20_000, 5, 6.0
 SHORTEST_STEM, FUZZY_FROM, CONTEXT = 4, 5, 8
@@ -214,7 +214,7 @@ def _terms(docs: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    counted = docs.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long")
+    counted = docs.select("text", "toxic").mapInArrow(tidy(count), "term string, toxic long, clean long")
     return counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -236,6 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(label_id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     known = known.filter(F.crc32(F.col("label_id").cast("string")) % held_out != 0) if held_out else known
     known = known.dropDuplicates(["label_id"]).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
+    small_batches(docs.sparkSession)
     source = id_and_text(docs, id_col, text_col)
     labelled = source.join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("text", F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"))
     labelled = cut(labelled)
@@ -294,4 +295,5 @@ def remove_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
             scores = model.score(np.array([_features(hits(t, lexicon), lexicon) for t in part.column(text_col).to_pylist()]).reshape(-1, _FEATURES))
             yield part.filter(pa.array(scores < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(tidy(run), docs.schema)
