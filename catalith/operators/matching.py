@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from catalith.functions import attributes as a
 from catalith.functions import families
 from catalith.functions import tables as t
@@ -11,6 +14,7 @@ from catalith.functions import text as x
 from catalith.functions.dialect import Dialect
 from catalith.operators import catalog
 from catalith.plans.layers import Layer, layered_sql, once_each
+from catalith.plans.materialize import cut
 from catalith.plans.query import Query, Table, shared
 from catalith.sources.fixtures import INPUT, INPUT_LAYER
 
@@ -57,7 +61,7 @@ def _rows(d: Dialect, table: Table, found: str, columns: str) -> str:
 _FOUND = "mapped_ids, n_ids, matched_on, method, match_score"
 
 
-def text_attribute_matches(d: Dialect, table: Table) -> str:
+def text_attribute_matches(d: Dialect, table: Table, index: str = "") -> str:
     """Equal brand, line and model; then the best of the ways in which storage keys
     may agree.  Ids stay in their lists until the way is chosen."""
     plain_watch = "q.product_line = 'watch' AND q.watch_mm <> '' AND q.material = ''"
@@ -70,7 +74,7 @@ def text_attribute_matches(d: Dialect, table: Table) -> str:
         ("q.storage = '' AND q.product_line <> 'watch'", "6"),
         other="NULL",
     )
-    met = f"SELECT q.query, q.own_brand, q.category, i.asset_ids, i.nl_name, i.nl_category, i.first_pos, i.storage_key AS k, {tier} AS tier FROM {d.fence(texts(d, table))} AS q JOIN ({index_rows(d, table)}) AS i ON q.brand = i.brand AND q.product_line = i.product_line AND q.model = i.model WHERE q.model <> '' AND q.whole6 >= 0"
+    met = f"SELECT q.query, q.own_brand, q.category, i.asset_ids, i.nl_name, i.nl_category, i.first_pos, i.storage_key AS k, {tier} AS tier FROM {d.fence(texts(d, table))} AS q JOIN ({index or index_rows(d, table)}) AS i ON q.brand = i.brand AND q.product_line = i.product_line AND q.model = i.model WHERE q.model <> '' AND q.whole6 >= 0"
     best = f"SELECT *, min(tier) OVER (PARTITION BY query, own_brand) AS best FROM ({met}) AS m WHERE tier IS NOT NULL"
     grouped = f"SELECT query, own_brand, min(tier) AS tier, {d.distinct(d.flat('asset_ids', 'first_pos'))} AS ids, {d.first_by('nl_name', 'first_pos')} AS matched_on, {d.first_by('nl_category', 'first_pos')} AS nl_category, min(category) AS category, count(*) AS n_keys FROM ({best}) AS b WHERE tier = best GROUP BY query, own_brand"
     method = d.case(("tier IN (2, 3)", "'attribute_watch_fallback'"), ("tier = 6 AND n_keys = 1", "'attribute_tier2_single_variant'"), ("tier = 6", "'attribute_tier2_multi_variant'"), (f"{d.size('ids')} > 1", "'attribute_auto_selected'"), other="'attribute'")
@@ -82,19 +86,54 @@ def attribute_matches(d: Dialect, table: Table) -> str:
     return _rows(d, table, text_attribute_matches(d, table), _FOUND)
 
 
-def text_signature_matches(d: Dialect, table: Table) -> str:
-    index = f"SELECT *, {a.category(d, 'nl_name')} AS nl_category FROM ({catalog.signature_index(d, table)}) AS i"
+def text_signature_matches(d: Dialect, table: Table, index: str = "") -> str:
+    index = index or f"SELECT *, {a.category(d, 'nl_name')} AS nl_category FROM ({catalog.signature_index(d, table)}) AS i"
     return f"SELECT q.query, q.own_brand, {d.join('i.asset_ids', ', ')} AS mapped_ids, CAST({d.size('i.asset_ids')} AS BIGINT) AS n_ids, i.nl_name AS matched_on, 'signature' AS method, CAST(100 AS DOUBLE) AS match_score FROM {d.fence(texts(d, table))} AS q JOIN ({index}) AS i ON q.signature = i.signature WHERE q.signature <> '' AND q.whole6 >= 0 AND (q.category = 'other' OR q.category = i.nl_category)"
 
 
 @shared("exact_matches")
 def text_exact_matches(d: Dialect, table: Table) -> str:
     """By attributes, else by signature."""
-    both = f"SELECT *, 0 AS turn FROM ({text_attribute_matches(d, table)}) AS a UNION ALL SELECT *, 1 AS turn FROM ({text_signature_matches(d, table)}) AS s"
+    return _either(text_attribute_matches(d, table), text_signature_matches(d, table))
+
+
+def _either(by_attributes: str, by_signature: str) -> str:
+    both = f"SELECT *, 0 AS turn FROM ({by_attributes}) AS a UNION ALL SELECT *, 1 AS turn FROM ({by_signature}) AS s"
     first = f"SELECT *, min(turn) OVER (PARTITION BY query, own_brand) AS best FROM ({both}) AS b"
     return f"SELECT query, own_brand, {_FOUND} FROM ({first}) AS f WHERE turn = best"
 
 
+@shared("known_entries")
+def known_entries(d: Dialect, table: Table) -> str:
+    """Entries of both indexes, each under a name of its own; a list of ids grows
+    with the catalog, and texts that lead to it are many."""
+    by_attributes = f"SELECT concat('a', sha2(concat_ws('|', brand, product_line, model, storage_key), 256)) AS entry, brand, product_line, model, storage_key, '' AS signature, asset_ids, nl_name, nl_category, first_pos FROM ({index_rows(d, table)}) AS i"
+    by_signature = f"SELECT concat('s', sha2(signature, 256)) AS entry, '' AS brand, '' AS product_line, '' AS model, '' AS storage_key, signature, asset_ids, nl_name, {a.category(d, 'nl_name')} AS nl_category, first_pos FROM ({catalog.signature_index(d, table)}) AS s"
+    return f"{by_attributes} UNION ALL {by_signature}"
+
+
+@shared("known_matches")
+def known_matches(d: Dialect, table: Table) -> str:
+    """``text_exact_matches`` with the names of entries in place of their ids."""
+    index = lambda start: f"SELECT brand, product_line, model, storage_key, signature, array(entry) AS asset_ids, nl_name, nl_category, first_pos FROM {table('known_entries')} WHERE startswith(entry, '{start}')"
+    return _either(text_attribute_matches(d, table, index("a")), text_signature_matches(d, table, index("s")))
+
+
+def known_ids(found: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Matches that name entries (``mapped_ids``), with the number of their list of
+    ids, ``n_ids`` and ``first_id``; and the lists: ``list, place, asset_id``, each id
+    once, where it stands first."""
+    lists = cut(found.select("mapped_ids").distinct().withColumn("list", F.monotonically_increasing_id()))
+    each = lists.select("list", F.posexplode(F.split("mapped_ids", ", ")).alias("p", "entry"))
+    each = each.join(entries.select("entry", "asset_ids"), "entry").select("list", "p", F.posexplode("asset_ids").alias("q", "asset_id"))
+    held = cut(each.groupBy("list", "asset_id").agg(F.min(F.struct("p", "q")).alias("place")))
+    sizes = held.groupBy("list").agg(F.count("*").alias("n_ids"), F.min_by("asset_id", "place").alias("first_id"))
+    known = found.drop("n_ids").join(lists.join(sizes, "list"), "mapped_ids").drop("mapped_ids")
+    plain = F.col("method").isin("attribute", "attribute_auto_selected")
+    known = known.withColumn("method", F.when(plain & (F.col("n_ids") > 1), "attribute_auto_selected").when(plain, "attribute").otherwise(F.col("method")))
+    return cut(known), held
+
+
 def signature_matches(d: Dialect, table: Table) -> str:
     return _rows(d, table, text_signature_matches(d, table), _FOUND)
 

@@ -7,10 +7,17 @@ one partitioning by input.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
 from catalith.functions import attributes as a
-from catalith.functions.dialect import Dialect
+from catalith.functions.dialect import SPARK, Dialect
 from catalith.operators import catalog, matching
 from catalith.plans.layers import Layer, layered_sql
+from catalith.plans.materialize import cut
 from catalith.plans.query import Query, Table
 
 _KEYS = "query, own_brand, plain"
@@ -60,10 +67,19 @@ def choose(d: Dialect, wanted: str, names: str) -> str:
     nl_pos, nl_name)."""
     each = f"SELECT w.*, asset_id FROM ({wanted}) AS w {d.explode('w.ids', 'asset_id')}"
     met = f"SELECT e.query, e.own_brand, e.plain, e.ids, e.asset_id, c.nl_pos, c.nl_name FROM ({each}) AS e JOIN ({names}) AS c ON e.asset_id = c.uae_assetid"
+    chosen = _picked(d, met, "ids", d.count_if("alive"))
+    unknown = "CASE WHEN c.selected_id IS NULL THEN 'Variants not found in catalog' ELSE c.selection_reason END"
+    own = d.at("w.ids", 0)
+    whole = f"SELECT w.query, w.own_brand, w.plain, w.ids, coalesce(c.selected_id, {own}) AS selected_id, {unknown} AS selection_reason FROM ({wanted}) AS w LEFT JOIN ({chosen}) AS c ON w.query = c.query AND w.own_brand = c.own_brand AND w.plain = c.plain"
+    return f"SELECT {_KEYS}, selected_id, selection_reason, {d.keep('ids', lambda e: f'{e} <> selected_id')} AS other_ids FROM ({whole}) AS x"
+
+
+def _picked(d: Dialect, met: str, of: str, n_left: str) -> str:
+    """The choice among the candidates of each text (``met``); ``of`` tells its list, ``n_left`` counts what is alive."""
     left = narrowed(d, layered_sql(met, _layers(d)), _TESTS)
     first = lambda where: f"{d.first_by('asset_id', 'nl_pos')} FILTER (WHERE alive AND {where})"
     flags = ("u_material", "u_year", "u_fold_gen", "u_flip_gen", "u_has_pro_max", "u_has_pro", "u_has_plus", "u_has_ultra", "u_has_lite", "u_has_mini", "u_5g", "u_4g")
-    told = f"SELECT {_KEYS}, ids, {', '.join(f'max({f}) AS {f}' for f in flags)}, {d.count_if('alive')} AS n_left, {first('true')} AS any_id, {first('n_5g')} AS id_5g, {first('NOT n_5g')} AS id_4g FROM ({left}) AS l GROUP BY {_KEYS}, ids"
+    told = f"SELECT {_KEYS}, {of}, {', '.join(f'max({f}) AS {f}' for f in flags)}, {n_left} AS n_left, {first('true')} AS any_id, {first('n_5g')} AS id_5g, {first('NOT n_5g')} AS id_4g FROM ({left}) AS l GROUP BY {_KEYS}, {of}"
     parts = d.array(
         "CASE WHEN u_material <> '' THEN concat('material:', u_material) END", "CASE WHEN u_year <> '' THEN concat('year ', u_year) END", "CASE WHEN u_fold_gen <> '' THEN u_fold_gen WHEN u_flip_gen <> '' THEN u_flip_gen END",
         "CASE WHEN u_has_pro_max THEN 'Pro Max' WHEN u_has_pro THEN 'Pro' END", *(f"CASE WHEN u_has_{w} THEN '{w.title()}' END" for w in ("plus", "ultra", "lite", "mini")),
@@ -77,11 +93,28 @@ def choose(d: Dialect, wanted: str, names: str) -> str:
     ]
     picked = d.case(*((when, i) for when, i, _ in rules), other="any_id")
     reason = d.case(*((when, r) for when, _, r in rules), other="'First ID (variants identical)'")
-    chosen = f"SELECT {_KEYS}, ids, {picked} AS selected_id, {reason} AS selection_reason FROM ({told}) AS g"
-    unknown = "CASE WHEN c.selected_id IS NULL THEN 'Variants not found in catalog' ELSE c.selection_reason END"
-    own = d.at("w.ids", 0)
-    whole = f"SELECT w.query, w.own_brand, w.plain, w.ids, coalesce(c.selected_id, {own}) AS selected_id, {unknown} AS selection_reason FROM ({wanted}) AS w LEFT JOIN ({chosen}) AS c ON w.query = c.query AND w.own_brand = c.own_brand AND w.plain = c.plain"
-    return f"SELECT {_KEYS}, selected_id, selection_reason, {d.keep('ids', lambda e: f'{e} <> selected_id')} AS other_ids FROM ({whole}) AS x"
+    return f"SELECT {_KEYS}, {of}, {picked} AS selected_id, {reason} AS selection_reason FROM ({told}) AS g"
+
+
+def choose_named(wanted: DataFrame, held: DataFrame, names: DataFrame) -> DataFrame:
+    """``choose`` where many texts share a list of ids: ``wanted`` has a number
+    (``list``) in place of ids, ``held`` has ``list, place, asset_id``.  A list is
+    taken apart once, and ids of equal names, which the tests cannot tell apart, are
+    one candidate with their number.  Gives ``n_ids`` and the first three other ids."""
+    spark = wanted.sparkSession
+    named = held.join(names, F.col("asset_id") == F.col("uae_assetid")).groupBy("list", "nl_name").agg(F.count("*").alias("n"), F.min_by("asset_id", "nl_pos").alias("asset_id"), F.min("nl_pos").alias("nl_pos"))
+    met = wanted.select("query", "own_brand", "plain", "list").join(cut(named), "list")
+    view = f"met_{uuid.uuid4().hex}"
+    met.createOrReplaceTempView(view)
+    chosen = spark.sql(_picked(SPARK, f"SELECT * FROM {view}", "list", "CAST(sum(CASE WHEN alive THEN n ELSE 0 END) AS BIGINT)"))
+    spark.catalog.dropTempView(view)
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("r") <= 4, F.struct("r", "asset_id")))), 1, 4)["asset_id"]
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("list").orderBy("place")))
+    heads = cut(ranked.groupBy("list").agg(F.count("*").alias("n_ids"), first.alias("head")))
+    keys = ["query", "own_brand", "plain"]
+    whole = wanted.join(heads, "list").join(chosen.select(*keys, F.col("selected_id").alias("picked"), "selection_reason"), keys, "left")
+    whole = whole.withColumns({"selected_id": F.coalesce("picked", F.col("head")[0]), "selection_reason": F.when(F.col("picked").isNull(), "Variants not found in catalog").otherwise(F.col("selection_reason"))})
+    return whole.withColumn("other_ids", F.slice(F.filter("head", lambda e: e != F.col("selected_id")), 1, 3)).drop("picked", "head")
 
 
 def multi_id_texts(d: Dialect, table: Table) -> str:
@@ -97,4 +130,16 @@ def _select(d: Dialect, table: Table) -> str:
     return f"SELECT query, own_brand, plain, selected_id, selection_reason, CAST({d.size('other_ids')} AS BIGINT) AS n_other, {d.join(d.slice('other_ids', 3), ', ')} AS first_others FROM ({inner}) AS z"
 
 
-QUERIES: dict[str, Query] = {"d10_select": Query(_select)}
+class _Select(Query):
+    """Under Spark each list of ids is taken apart once; DuckDB runs the plain query."""
+
+    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        shared = lambda name: Query(lambda d, table: f"SELECT * FROM {table(name)}").spark(spark, sf_dir)
+        known, held = matching.known_ids(shared("known_matches"), shared("known_entries"))
+        said = shared("input_list").select("query", "own_brand", "plain").distinct()
+        wanted = cut(said.join(known.filter("n_ids > 1").select("query", "own_brand", "list"), ["query", "own_brand"]))
+        picked = choose_named(wanted, held, shared("catalog_clean").select("uae_assetid", "nl_pos", "nl_name"))
+        return picked.select("query", "own_brand", "plain", "selected_id", "selection_reason", (F.col("n_ids") - 1).alias("n_other"), F.array_join("other_ids", ", ").alias("first_others"))
+
+
+QUERIES: dict[str, Query] = {"d10_select": _Select(_select)}
