@@ -39,7 +39,7 @@ def _names(catalog: DataFrame) -> DataFrame:
     each = catalog.select("normalized_name", "nl_pos", "uae_assetid", scopes.alias("scope")).select("scope.*", "normalized_name", "nl_pos", "uae_assetid")
     ids = F.array_sort(F.collect_list(F.struct("nl_pos", "uae_assetid")))["uae_assetid"]
     named = each.groupBy("in_brand", "in_category", "normalized_name").agg(F.min("nl_pos").alias("pos"), ids.alias("ids"))
-    return named.select("in_brand", "in_category", "normalized_name", "pos", F.array_join("ids", ", ").alias("asset_id"), F.size("ids").cast("long").alias("n_ids"))
+    return named.select("in_brand", "in_category", "normalized_name", "pos", F.array_join("ids", ", ").alias("asset_id"), F.col("ids")[0].alias("first_id"), F.size("ids").cast("long").alias("n_ids"))
 
 
 def _compared(asked: DataFrame, names: DataFrame, cutoff: float, top: int) -> DataFrame:
@@ -48,9 +48,14 @@ def _compared(asked: DataFrame, names: DataFrame, cutoff: float, top: int) -> Da
     least = F.greatest(F.lit(cutoff), "least")
     bound = 200.0 * F.least(F.length("query"), F.length("normalized_name")) / (F.length("query") + F.length("normalized_name"))
     held = F.col("need").isNull() | F.col("normalized_name").contains(F.col("need"))
-    scored = asked.join(names, ["in_brand", "in_category"]).filter((bound >= least) & held).withColumn("score", F.bround(token_sort_ratio_udf("query", "normalized_name"), 2)).filter(F.col("score") >= least)
+    plain = names.select("in_brand", "in_category", "normalized_name", "pos", "n_ids")  # lists of ids come after the choice
+    scored = asked.join(plain, ["in_brand", "in_category"]).filter((bound >= least) & held).withColumn("score", F.bround(token_sort_ratio_udf("query", "normalized_name"), 2)).filter(F.col("score") >= least)
     best = Window.partitionBy("query", "brand", "category").orderBy(F.desc("score"), "pos")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query", "brand", "category", "normalized_name", "asset_id", "n_ids", "score", F.col("rank").cast("long").alias("rank"))
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query", "brand", "category", "in_brand", "in_category", "normalized_name", "n_ids", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _with_ids(found: DataFrame, names: DataFrame, *ids: str) -> DataFrame:
+    return found.join(names.select("in_brand", "in_category", "normalized_name", *ids), ["in_brand", "in_category", "normalized_name"]).drop("in_brand", "in_category")
 
 
 def _scoped(rows: DataFrame, catalog: DataFrame, names: DataFrame) -> DataFrame:
@@ -69,6 +74,13 @@ def _scoped(rows: DataFrame, catalog: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def similar(spark: SparkSession, sf_dir: str, rows: DataFrame, cutoff: float = NEAR, top: int = 3, fallback: bool = True) -> DataFrame:
+    """``nearest`` with the lists of ids."""
+    names = cut(_names(_shared(spark, sf_dir, "catalog_features").select("brand", "category", "normalized_name", "nl_pos", "uae_assetid")))
+    found = _with_ids(nearest(spark, sf_dir, rows, names, cutoff, top, fallback), names, "asset_id")
+    return found.select("query", "brand", "category", "normalized_name", "asset_id", "n_ids", "score", "rank")
+
+
+def nearest(spark: SparkSession, sf_dir: str, rows: DataFrame, names: DataFrame, cutoff: float = NEAR, top: int = 3, fallback: bool = True) -> DataFrame:
     """The most similar catalog names of each row.  Each distinct text is
     compared once.
 
@@ -79,8 +91,7 @@ def similar(spark: SparkSession, sf_dir: str, rows: DataFrame, cutoff: float = N
     its brand's names meets those of all brands, in its category unless that is
     'other'.  Laptops have no such fallback, and neither do rows whose brand has
     no name in their category (J4 looks elsewhere for these)."""
-    catalog = _shared(spark, sf_dir, "catalog_features").select("brand", "category", "normalized_name", "nl_pos", "uae_assetid")
-    names = _names(catalog)
+    catalog = _shared(spark, sf_dir, "catalog_features").select("brand")
     asked = _scoped(rows, catalog, names)
     scoped = _compared(asked, names, cutoff, top)
     if not fallback:
@@ -95,10 +106,12 @@ def similar(spark: SparkSession, sf_dir: str, rows: DataFrame, cutoff: float = N
     return both.withColumn("widest", F.max("wider").over(Window.partitionBy(*keys))).filter("wider = widest").drop("wider", "widest")
 
 
-def top_names(asked: DataFrame, names: DataFrame, top: int, cutoff: float = 0.0) -> DataFrame:
-    """The ``top`` names of given scopes at any score, as a list of (rank, id, name, score) for each text."""
+def top_names(asked: DataFrame, names: DataFrame, top: int, cutoff: float = 0.0, lists: bool = False) -> DataFrame:
+    """The ``top`` names of given scopes at any score, as a list of (rank, id, name,
+    score) for each text, with all ids of a name (``asset_id``) where ``lists`` asks for them."""
     plain = asked.withColumns({"least": F.lit(0.0), "need": F.lit(None).cast("string")})
-    each = _compared(plain, names, cutoff, top).withColumn("id", F.split("asset_id", ", ")[0])
+    each = _with_ids(_compared(plain, names, cutoff, top), names, "first_id", *["asset_id"] * lists).withColumnRenamed("first_id", "id")
+    each = each if lists else each.withColumn("asset_id", F.lit(None).cast("string"))
     return each.groupBy("query", "brand", "category").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col("normalized_name").alias("name"), "score", "asset_id"))).alias("near"))
 
 
@@ -130,12 +143,12 @@ def _sql(spark: SparkSession, write: Callable[..., str], **frames: DataFrame) ->
 def similar_storage(spark: SparkSession, sf_dir: str, rest: DataFrame) -> DataFrame:
     """Texts whose brand, line and model are known under other storage keys only:
     the most similar key at ``NEAR``, with the same memory (J1f)."""
-    index = cut(Query(matching.index_rows).spark(spark, sf_dir))
+    index = _shared(spark, sf_dir, "known_entries").filter(F.col("entry").startswith("a")).select("entry", "brand", "product_line", "model", "storage_key", "nl_name", "nl_category", "first_pos")
     asked = rest.filter("model <> '' AND storage <> '' AND product_line <> 'watch'").select("query", "own_brand", "brand", "product_line", "model", "storage_key", "ram", "category").distinct()
     met = asked.join(index.withColumnRenamed("storage_key", "k").filter("k <> ''"), ["brand", "product_line", "model"])
     met = met.filter("ram = '' OR instr(k, '_') = 0 OR split_part(k, '_', 1) = ram").withColumn("alike", ratio_udf("storage_key", "k"))
-    best = met.groupBy("query", "own_brand", "category").agg(F.max_by(F.struct("alike", "asset_ids", "nl_name", "nl_category"), F.struct("alike", -F.col("first_pos"))).alias("b")).filter("b.alike >= 80 AND (category = 'other' OR category = b.nl_category)")
-    return best.select("query", "own_brand", F.col("b.asset_ids").alias("ids"), F.col("b.nl_name").alias("matched_on"), F.lit("attribute_tier3_fuzzy_storage").alias("method"), F.lit(90.0).alias("match_score"))
+    best = met.groupBy("query", "own_brand", "category").agg(F.max_by(F.struct("alike", "entry", "nl_name", "nl_category"), F.struct("alike", -F.col("first_pos"))).alias("b")).filter("b.alike >= 80 AND (category = 'other' OR category = b.nl_category)")
+    return best.select("query", "own_brand", F.col("b.entry").alias("mapped_ids"), F.col("b.nl_name").alias("matched_on"), F.lit("attribute_tier3_fuzzy_storage").alias("method"), F.lit(90.0).alias("match_score"))
 
 
 def _gated(found: DataFrame) -> DataFrame:
@@ -146,25 +159,25 @@ def _gated(found: DataFrame) -> DataFrame:
     return found.join(told, ["query", "matched_on"])
 
 
-def _chosen(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+def _chosen(spark: SparkSession, sf_dir: str, found: DataFrame, held: DataFrame) -> DataFrame:
     """With the id that is selected where there are several."""
     names = _shared(spark, sf_dir, "catalog_clean").select("uae_assetid", "nl_pos", "nl_name")
-    several = cut(found.filter(F.size("ids") > 1).select(*KEYS, "ids"))
-    picked = _sql(spark, lambda wanted, names: selection.choose(SPARK, wanted, names), wanted=several, names=names)
-    return found.join(cut(picked), KEYS, "left")
+    several = cut(found.filter("n_ids > 1").select(*KEYS, "list"))
+    return found.join(cut(selection.choose_named(several, held, names).drop("list", "n_ids")), KEYS, "left")
 
 
 def exact_results(spark: SparkSession, sf_dir: str, asked: DataFrame) -> DataFrame:
     """What attributes and signatures find: matched, with one id."""
-    known = _shared(spark, sf_dir, "exact_matches").select("query", "own_brand", F.split("mapped_ids", ", ").alias("ids"), "matched_on", "method", "match_score")
+    known = _shared(spark, sf_dir, "known_matches").select("query", "own_brand", "mapped_ids", "matched_on", "method", "match_score")
     by_attributes = known.filter(F.col("method").startswith("attribute"))
     alike = similar_storage(spark, sf_dir, asked.join(by_attributes.select("query", "own_brand"), ["query", "own_brand"], "left_anti"))
     rest = known.filter("method = 'signature'").join(alike.select("query", "own_brand"), ["query", "own_brand"], "left_anti")
-    found = cut(asked.select(*KEYS).join(by_attributes.unionByName(alike).unionByName(rest), ["query", "own_brand"]))
-    found = _chosen(spark, sf_dir, found)
-    several = F.size("ids") > 1
+    every = cut(by_attributes.unionByName(alike).unionByName(rest))
+    known, held = matching.known_ids(every.withColumn("n_ids", F.lit(0)), _shared(spark, sf_dir, "known_entries"))
+    found = _chosen(spark, sf_dir, cut(asked.select(*KEYS).join(known, ["query", "own_brand"])), held)
+    several = F.col("n_ids") > 1
     medium = (F.col("match_score") == 90.0) & F.col("method").isin("attribute_tier3_fuzzy_storage", "attribute_tier2_multi_variant") & ~(several & (F.col("method") == "attribute_tier2_multi_variant"))
-    return found.select(*KEYS, F.coalesce("selected_id", F.array_join("ids", ", ")).alias("mapped"), "match_score", F.lit("MATCHED").alias("match_status"), F.when(medium, "MEDIUM").otherwise("HIGH").alias("confidence"), "matched_on", "method", several.alias("auto_selected"), F.coalesce("selection_reason", F.lit("")).alias("selection_reason"), F.coalesce("other_ids", F.array().cast("array<string>")).alias("other_ids"), F.lit(None).cast(_NEAR).alias("near"))
+    return found.select(*KEYS, F.coalesce("selected_id", "first_id").alias("mapped"), "match_score", F.lit("MATCHED").alias("match_status"), F.when(medium, "MEDIUM").otherwise("HIGH").alias("confidence"), "matched_on", "method", several.alias("auto_selected"), F.coalesce("selection_reason", F.lit("")).alias("selection_reason"), F.coalesce("other_ids", F.array().cast("array<string>")).alias("other_ids"), F.lit(None).cast(_NEAR).alias("near"))
 
 
 _NEAR = "array<struct<rank:bigint,id:string,name:string,score:double,asset_id:string>>"
@@ -201,11 +214,16 @@ def widened_results(rest: DataFrame, names: DataFrame, widen: str) -> DataFrame:
 def fuzzy_results(spark: SparkSession, sf_dir: str, rest: DataFrame, names: DataFrame, widen: str) -> DataFrame:
     """The most similar name, guarded by model words; what may count and what goes to review."""
     keys = ["query", "brand", "category"]
-    best = similar(spark, sf_dir, rest).filter("rank = 1").select(*keys, F.col("normalized_name").alias("matched_on"), F.split("asset_id", ", ").alias("ids"), F.col("score").alias("plain_score"))
-    found = _chosen(spark, sf_dir, cut(_gated(cut(rest.select(*KEYS, "brand", "category").join(best, keys)))))
+    scope = ["in_brand", "in_category", "matched_on"]
+    named = cut(names.select("in_brand", "in_category", F.col("normalized_name").alias("matched_on"), "asset_id", "first_id").withColumn("list", F.monotonically_increasing_id()))
+    best = nearest(spark, sf_dir, rest, names).filter("rank = 1").select(*keys, "in_brand", "in_category", F.col("normalized_name").alias("matched_on"), "n_ids", F.col("score").alias("plain_score"))
+    best = cut(best.join(named.select(*scope, "list", "first_id"), scope).drop("in_brand", "in_category"))
+    held = named.join(best.filter("n_ids > 1").select("list").distinct(), "list").select("list", F.posexplode(F.split("asset_id", ", ")).alias("place", "asset_id"))
+    found = _chosen(spark, sf_dir, cut(_gated(cut(rest.select(*KEYS, "brand", "category").join(best, keys)))), cut(held))
+    found = found.join(named.select("list", "asset_id"), "list")
     passes, near = F.size("gate") == 0, F.col("plain_score") < SIMILAR
     found = found.withColumn("score", F.when(near, F.col("plain_score")).otherwise(F.least("plain_score", F.col("most").cast("double")))).filter(~near | passes & F.lit(widen != "conservative"))
-    score, several = F.col("score"), F.size("ids") > 1
+    score, several = F.col("score"), F.col("n_ids") > 1
     said = F.when(score == F.floor("score"), score.cast("long").cast("string")).otherwise(score.cast("string"))
     low, high, soft = score < SIMILAR, score >= HIGH, (score >= SOFT) & passes
     auto = lambda name: F.concat(F.lit(name), F.when(several, "_auto_selected").otherwise(""))
@@ -220,7 +238,7 @@ def fuzzy_results(spark: SparkSession, sf_dir: str, rest: DataFrame, names: Data
     catalog = _shared(spark, sf_dir, "catalog_features").select("brand", "category", "normalized_name", "nl_pos", "uae_assetid")
     top = top_names(_scoped(shown, catalog, names).drop("least", "need"), names, 3)
     none = F.array().cast("array<string>")
-    return found.join(top, keys, "left").select(*KEYS, F.when(dropped, "").when(counts & several, F.col("selected_id")).otherwise(F.array_join("ids", ", ")).alias("mapped"), score.alias("match_score"), F.when(dropped, "NO_MATCH").when(counts, "MATCHED").otherwise("REVIEW_REQUIRED").alias("match_status"), sure.alias("confidence"), "matched_on", F.when(dropped, "fuzzy").otherwise(F.col("method")).alias("method"), (counts & several).alias("auto_selected"), F.when(dropped, "").otherwise(reason).alias("selection_reason"), F.when(counts & several, F.col("other_ids")).otherwise(none).alias("other_ids"), F.when(near | low & ~dropped, F.col("near")).alias("near"))
+    return found.join(top, keys, "left").select(*KEYS, F.when(dropped, "").when(counts & several, F.col("selected_id")).otherwise(F.col("asset_id")).alias("mapped"), score.alias("match_score"), F.when(dropped, "NO_MATCH").when(counts, "MATCHED").otherwise("REVIEW_REQUIRED").alias("match_status"), sure.alias("confidence"), "matched_on", F.when(dropped, "fuzzy").otherwise(F.col("method")).alias("method"), (counts & several).alias("auto_selected"), F.when(dropped, "").otherwise(reason).alias("selection_reason"), F.when(counts & several, F.col("other_ids")).otherwise(none).alias("other_ids"), F.when(near | low & ~dropped, F.col("near")).alias("near"))
 
 
 def _differences(spark: SparkSession, sf_dir: str, found: DataFrame, asked: DataFrame) -> DataFrame:
@@ -298,7 +316,7 @@ def _blocked(found: DataFrame, asked: DataFrame, names: DataFrame) -> DataFrame:
     stopped = stopped.join(asked.select(*KEYS, "brand", "category"), KEYS)
     brands = names.filter(F.col("in_category") == ANY).select(F.col("in_brand").alias("brand"), F.lit(True).alias("known")).distinct()
     scoped = stopped.join(brands, "brand", "left").withColumns({"in_brand": F.when(F.col("known"), F.col("brand")).otherwise(ANY), "in_category": F.lit(ANY)})
-    near = top_names(scoped.select("query", "brand", "category", "in_brand", "in_category").distinct(), names, 5)
+    near = top_names(scoped.select("query", "brand", "category", "in_brand", "in_category").distinct(), names, 5, lists=True)
     met = stopped.join(near, ["query", "brand", "category"], "left")
     others = F.slice(F.filter(F.coalesce("near", F.array().cast(_NEAR)), lambda n: n["name"] != F.col("matched_on")), 1, 2)
     listed = F.transform(others, lambda n: F.struct(n["asset_id"].alias("uae_assetid"), n["name"].alias("uae_assetname"), n["score"].alias("score"), F.lit("nearby_candidate").alias("reason")))

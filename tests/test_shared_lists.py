@@ -1,7 +1,7 @@
 """Lists of ids that many texts share are taken apart once."""
 
 from catalith.functions.dialect import SPARK
-from catalith.operators import matching, selection
+from catalith.operators import cascade, matching, selection
 from tests.test_variants import CHOICES
 
 
@@ -39,3 +39,14 @@ def test_entries_stand_for_their_ids(spark):
     got = {r.query: (lists[r.list], r.n_ids, r.first_id, r.method) for r in known.collect()}
     assert got == {"p": (["A1", "A2", "A3"], 3, "A1", "attribute_tier2_multi_variant"), "q": (["A1", "A2"], 2, "A1", "attribute_auto_selected"), "r": (["A9"], 1, "A9", "attribute"), "s": (["A1", "A2"], 2, "A1", "attribute_auto_selected")}
     assert len(lists) == 3  # 'q' and 's' share one
+
+
+def test_comparisons_carry_no_lists_of_ids(spark):
+    rows = spark.createDataFrame([("apple", "mobile", f"iphone 1{i % 2}", i, f"A{i}") for i in range(6)], "brand string, category string, normalized_name string, nl_pos long, uae_assetid string")
+    names = cascade._names(rows)
+    asked = spark.createDataFrame([("iphone 10", "apple", "mobile", "apple", "mobile")], "query string, brand string, category string, in_brand string, in_category string")
+    plain = cascade._compared(asked.selectExpr("*", "0.0D AS least", "CAST(NULL AS STRING) AS need"), names, 0.0, 2)
+    assert not {"asset_id", "ids"} & set(plain.columns)
+    one, every = (cascade.top_names(asked, names, 2, lists=x).collect()[0].near for x in (False, True))
+    assert [(n.rank, n.id, n.name, n.asset_id) for n in one] == [(1, "A0", "iphone 10", None), (2, "A1", "iphone 11", None)]
+    assert [n.asset_id for n in every] == ["A0, A2, A4", "A1, A3, A5"]
