@@ -125,6 +125,10 @@ def review_flat(d: Dialect, source: str) -> str:
 def best_candidates(d: Dialect, source: str, top: int = 3) -> str:
     """The best candidates of each review row, of alternatives and blocked ones."""
     read = f"SELECT row_id, {d.chain(d.candidates('alternatives'), d.candidates('blocked_candidates'))} AS cands FROM ({source}) AS s WHERE {_REVIEW}"
+    if d is SPARK:  # ordered inside the row, for its candidates may name long lists of ids; no row_id stands twice
+        order = "c.score IS NULL AS none, NOT coalesce(isnan(c.score), false) AS number, -c.score AS below, c.uae_assetid AS id, c.score AS score"
+        best = f"SELECT row_id, slice(array_sort(transform(cands, c -> struct({order}))), 1, {top}) AS best FROM ({read}) AS r"
+        return f"SELECT row_id, b.id AS id, b.score AS score, CAST(at + 1 AS BIGINT) AS place FROM ({best}) AS t LATERAL VIEW posexplode(best) lv AS at, b"
     each = f"SELECT row_id, c.uae_assetid AS id, c.score AS score FROM ({read}) AS r {d.explode('cands', 'c')}"
     return f"SELECT row_id, id, score, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY score DESC, id) AS BIGINT) AS place FROM ({each}) AS e) AS p WHERE place <= {top}"
 

@@ -1,7 +1,7 @@
 """Lists of ids that many texts share are taken apart once."""
 
 from catalith.functions.dialect import SPARK
-from catalith.operators import cascade, matching, selection
+from catalith.operators import audits, cascade, matching, selection
 from tests.test_variants import CHOICES
 
 
@@ -50,3 +50,14 @@ def test_comparisons_carry_no_lists_of_ids(spark):
     one, every = (cascade.top_names(asked, names, 2, lists=x).collect()[0].near for x in (False, True))
     assert [(n.rank, n.id, n.name, n.asset_id) for n in one] == [(1, "A0", "iphone 10", None), (2, "A1", "iphone 11", None)]
     assert [n.asset_id for n in every] == ["A0, A2, A4", "A1, A3, A5"]
+
+
+def test_best_candidates_need_no_shuffle(spark):
+    def listed(*scores):
+        return "[" + ", ".join(f'{{"uae_assetid": "{i}", "uae_assetname": "n", "score": {s}, "reason": "r"}}' for i, s in scores) + "]"
+
+    rows = [(1, "REVIEW_REQUIRED", listed(("b", 80.0), ("a", 80.0), ("z", "null")), listed(("c", 95.5))), (2, "REVIEW_REQUIRED", "[]", listed(("z", "null"), ("y", 0.0))), (3, "MATCHED", listed(("a", 1.0)), "[]")]
+    spark.createDataFrame(rows, "row_id long, match_status string, alternatives string, blocked_candidates string").createOrReplaceTempView("reviewed")
+    best = spark.sql(audits.best_candidates(SPARK, "SELECT * FROM reviewed"))
+    assert sorted(tuple(r) for r in best.collect()) == [(1, "a", 80.0, 2), (1, "b", 80.0, 3), (1, "c", 95.5, 1), (2, "y", 0.0, 1), (2, "z", None, 2)]
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
