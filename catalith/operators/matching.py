@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.functions import attributes as a
@@ -115,8 +115,19 @@ def known_entries(d: Dialect, table: Table) -> str:
 @shared("known_matches")
 def known_matches(d: Dialect, table: Table) -> str:
     """``text_exact_matches`` with the names of entries in place of their ids."""
-    index = lambda start: f"SELECT brand, product_line, model, storage_key, signature, array(entry) AS asset_ids, nl_name, nl_category, first_pos FROM {table('known_entries')} WHERE startswith(entry, '{start}')"
-    return _either(text_attribute_matches(d, table, index("a")), text_signature_matches(d, table, index("s")))
+    return _either(known_by_attributes(d, table), known_by_signature(d, table))
+
+
+def _named(table: Table, start: str) -> str:
+    return f"SELECT brand, product_line, model, storage_key, signature, array(entry) AS asset_ids, nl_name, nl_category, first_pos FROM {table('known_entries')} WHERE startswith(entry, '{start}')"
+
+
+def known_by_attributes(d: Dialect, table: Table) -> str:
+    return text_attribute_matches(d, table, _named(table, "a"))
+
+
+def known_by_signature(d: Dialect, table: Table) -> str:
+    return text_signature_matches(d, table, _named(table, "s"))
 
 
 def known_ids(found: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,6 +149,44 @@ def signature_matches(d: Dialect, table: Table) -> str:
     return _rows(d, table, text_signature_matches(d, table), _FOUND)
 
 
+#: Of what is given out: bytes of lists that a task names, of which a file's dictionary holds 1 MB; and bytes that it repeats.
+TASK_LISTS, TASK_BYTES = 1 << 18, 1 << 31
+
+
+def with_lists(rows: DataFrame, held: DataFrame, task_lists: int = TASK_LISTS, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``rows`` (with ``list``) with the text of their list, ``mapped_ids``, made once of
+    ``held``.  Rows meet it last of all, those of one list side by side and a list of
+    many rows in several tasks; so no shuffle carries a text for each row, and files
+    name it once where they have a dictionary."""
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("place", "asset_id")))["asset_id"], ", ")
+    sizes = rows.groupBy("list").agg(F.count("*").alias("rows"))
+    lists = held.groupBy("list").agg(text.alias("mapped_ids")).join(sizes, "list")
+    lists = cut(lists.withColumns({"length": F.length("mapped_ids").cast("long"), "parts": F.ceil(F.col("rows") * F.length("mapped_ids") / task_bytes)}).withColumn("parts", F.greatest("parts", F.lit(1))))
+    named, repeated = lists.agg(F.coalesce(F.sum(F.col("length") * F.col("parts")), F.lit(0)), F.coalesce(F.sum(F.col("length") * F.col("rows")), F.lit(0))).first()
+    tasks = 1 + max(named // task_lists, repeated // task_bytes)
+    keys = ["list", "turn"]
+    dealt = rows.join(lists.select("list", "parts"), "list").withColumn("turn", F.pmod(F.xxhash64("row_id"), "parts")).drop("parts").repartition(tasks, *keys)
+    each = lists.select("list", "mapped_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("turn")).repartition(tasks, *keys)
+    return dealt.join(each, keys).drop(*keys)
+
+
+class _Listed(Query):
+    """Matches with their lists of ids.  Under Spark they are found by the names of
+    entries (``known``), for lists and the rows that have them both grow with the
+    tables; DuckDB runs the plain query."""
+
+    def __init__(self, build: Callable[[Dialect, Table], str], known: Callable[[Dialect, Table], str]):
+        super().__init__(build)
+        self.known = known
+
+    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        shared = lambda name: Query(lambda d, table: f"SELECT * FROM {table(name)}").spark(spark, sf_dir)
+        known, held = known_ids(cut(Query(self.known).spark(spark, sf_dir)), shared("known_entries"))
+        rows = shared("input_list").select("row_id", "query", "own_brand").join(known, ["query", "own_brand"])
+        found = with_lists(cut(rows.select("row_id", "list", "n_ids", "matched_on", "method", "match_score")), held)
+        return found.select("row_id", *_FOUND.split(", "))
+
+
 def paired(d: Dialect, table: Table, left: list[str], right: list[str]) -> str:
     """Each input row with one of the catalog rows of its brand and category; over
     all rows, every catalog row of a bucket is met."""
@@ -385,7 +434,7 @@ def _missing_ids(d: Dialect, table: Table) -> str:
 QUERIES: dict[str, Query] = {
     "d19_query_text": Query(lambda d, t_: f"SELECT row_id, own_brand, query FROM {d.fence(inputs(d, t_))} AS i WHERE whole4 >= 0"),
     "j1_attribute": Query(attribute_matches),
-    "j2_signature": Query(signature_matches),
+    "j2_signature": _Listed(signature_matches, known_by_signature),
     "j3_bucket": Query(_bucket_join),
     "j12_names": Query(_names),
     "j13_crosswalk": Query(_crosswalk),
