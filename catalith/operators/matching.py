@@ -433,7 +433,7 @@ def _missing_ids(d: Dialect, table: Table) -> str:
 
 QUERIES: dict[str, Query] = {
     "d19_query_text": Query(lambda d, t_: f"SELECT row_id, own_brand, query FROM {d.fence(inputs(d, t_))} AS i WHERE whole4 >= 0"),
-    "j1_attribute": Query(attribute_matches),
+    "j1_attribute": _Listed(attribute_matches, known_by_attributes),
     "j2_signature": _Listed(signature_matches, known_by_signature),
     "j3_bucket": Query(_bucket_join),
     "j12_names": Query(_names),

@@ -32,7 +32,7 @@ def test_files_name_a_long_list_once(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name, plain", [("j2_signature", matching.signature_matches)])
+@pytest.mark.parametrize("name, plain", [("j1_attribute", matching.attribute_matches), ("j2_signature", matching.signature_matches)])
 def test_matches_shuffle_no_list_with_each_row(spark, name, plain):
     got = matching.QUERIES[name].spark(spark, SMALL)
     assert "partitioning(query" not in got._jdf.queryExecution().executedPlan().toString()
