@@ -153,9 +153,14 @@ def similar_storage(spark: SparkSession, sf_dir: str, rest: DataFrame) -> DataFr
 
 def _gated(found: DataFrame) -> DataFrame:
     """With the gate's reasons for text and name, the critical check and the guard on scores."""
-    layers = [*matching.pair_layers(SPARK), {"gate": matching.gate_reasons(SPARK), "verified": matching.critical_ok(SPARK), "most": matching.token_guard(SPARK)}]
-    each = found.select(F.col("query").alias("q_norm"), F.col("matched_on").alias("c_norm")).distinct()
-    told = cut(apply_layers(cut(each), layers).select(F.col("q_norm").alias("query"), F.col("c_norm").alias("matched_on"), "gate", "verified", "most"))
+    pairs = cut(found.select(F.col("query").alias("q_norm"), F.col("matched_on").alias("c_norm")).distinct())
+    names = matching.text_attributes(SPARK)
+    texts = cut(pairs.select(F.col("q_norm").alias("norm")).union(pairs.select("c_norm")).distinct())
+    known = cut(apply_layers(texts, [{name: fn("norm") for name, fn in names.items()}]))  # once for each text, which many pairs share
+    for s in "qc":
+        pairs = pairs.join(known.select(*(F.col(n).alias(f"{s}_{n}") for n in ("norm", *names))), f"{s}_norm")
+    layers = [matching.told_layer(SPARK), {"gate": matching.gate_reasons(SPARK), "verified": matching.critical_ok(SPARK), "most": matching.token_guard(SPARK)}]
+    told = cut(apply_layers(cut(pairs), layers).select(F.col("q_norm").alias("query"), F.col("c_norm").alias("matched_on"), "gate", "verified", "most"))
     return found.join(told, ["query", "matched_on"])
 
 

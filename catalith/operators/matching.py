@@ -202,20 +202,24 @@ def pairs(d: Dialect, table: Table) -> str:
     return f"SELECT row_id, nl_pos, q_norm, c_norm FROM ({paired(d, table, ['query AS q_norm'], ['normalized_name AS c_norm'])}) AS p"
 
 
-def _both(name: str, fn) -> Layer:
-    return {f"q_{name}": fn("q_norm"), f"c_{name}": fn("c_norm")}
+def text_attributes(d: Dialect) -> dict[str, Callable[[str], str]]:
+    """What the gates ask of either text of a pair, by name."""
+    groups = {"aluminium": "aluminium|aluminum|alum", "steel": "steel|stainless", "titanium": "titan", "ceramic": "ceramic", "plastic": "plastic|polycarbonate"}
+    found = (("cat", a.category), ("storage", a.storage), ("mm", a.watch_mm), ("tokens", a.model_tokens), ("edition", a.watch_edition), ("code", a.model_code), ("gen", a.tablet_generation), ("inches", a.screen_inches), ("year", a.year), ("identity", a.model_identity))
+    return {name: lambda v, fn=fn: fn(d, v) for name, fn in found} | {
+        "variants": lambda v: d.join(a.variant_tokens(d, v), ","),
+        "material": lambda v: d.case(*((d.has(v, p), f"'{g}'") for g, p in groups.items())),
+        "line": lambda v: d.join(d.keep(d.words(("air", "lite", "pro", "se")), lambda e: f"contains(concat(' ', {v}, ' '), concat(' ', {e}, ' '))"), ","),
+    }
 
 
-def pair_layers(d: Dialect) -> list[Layer]:
-    groups = {"aluminium": "aluminium|aluminum|alum", "steel": "steel|stainless", "titanium": "titan", "ceramic": "ceramic", "plastic": "plastic|polycarbonate"}
-    materials = lambda v: d.case(*((d.has(v, p), f"'{g}'") for g, p in groups.items()))
-    lines = lambda v: d.join(d.keep(d.words(("air", "lite", "pro", "se")), lambda e: f"contains(concat(' ', {v}, ' '), concat(' ', {e}, ' '))"), ",")
+def told_layer(d: Dialect) -> Layer:
     telling = lambda v: d.distinct(d.keep(v, lambda e: f"NOT {d.has(e, '^20[012][0-9]$')} AND NOT {d.has(e, '^[a-z]{1,3}[0-9]{3,6}[a-z]{0,3}$')}"))
-    first = {}
-    for name, fn in (("cat", a.category), ("storage", a.storage), ("mm", a.watch_mm), ("tokens", a.model_tokens), ("edition", a.watch_edition), ("code", a.model_code), ("gen", a.tablet_generation), ("inches", a.screen_inches), ("year", a.year), ("identity", a.model_identity)):
-        first |= _both(name, lambda v, fn=fn: fn(d, v))
-    first |= _both("variants", lambda v: d.join(a.variant_tokens(d, v), ",")) | _both("material", materials) | _both("line", lines)
-    return [first, {"q_told": telling("q_tokens"), "c_told": telling("c_tokens")}]
+    return {"q_told": telling("q_tokens"), "c_told": telling("c_tokens")}
+
+
+def pair_layers(d: Dialect) -> list[Layer]:
+    return [{f"{s}_{name}": fn(f"{s}_norm") for name, fn in text_attributes(d).items() for s in "qc"}, told_layer(d)]
 
 
 def _differ(d: Dialect, name: str, label: str) -> str:
