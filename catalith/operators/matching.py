@@ -149,8 +149,8 @@ def signature_matches(d: Dialect, table: Table) -> str:
     return _rows(d, table, text_signature_matches(d, table), _FOUND)
 
 
-#: Of what is given out: bytes of lists that a task names, of which a file's dictionary holds 1 MB; and bytes that it repeats.
-TASK_LISTS, TASK_BYTES = 1 << 18, 1 << 31
+#: Of what is given out, for a task in the mean: bytes of lists that it names, far below the 1 MB of a file's dictionary, as some tasks get several times as much; and bytes that it repeats.
+TASK_LISTS, TASK_BYTES = 1 << 16, 1 << 31
 
 
 def with_lists(rows: DataFrame, held: DataFrame, task_lists: int = TASK_LISTS, task_bytes: int = TASK_BYTES) -> DataFrame:
